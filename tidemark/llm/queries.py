@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, decontamination, packing, quality_model, quality_rules, simhash_dedup, substring_dedup
+from tidemark.llm import chat_format, decontamination, line_dedup, packing, quality_model, quality_rules, simhash_dedup, substring_dedup
 
 #: The file of the tokenizer that texts are packed with; a parameter of the operator.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -42,6 +42,12 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = line_dedup.deduplicated(docs.withColumn("n_lines", F.size(F.split("text", "\n", -1)).cast("long")))
+    return found.select("doc_id", "n_lines", F.coalesce(F.size("gone__"), F.lit(0)).cast("long").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = quality_model.score(docs, quality_model.train(docs, table(spark, sf_dir, "labels")))
@@ -75,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_simhash": op3_simhash,
     "op4_chat_format": op4_chat_format,
+    "op5_line_dedup": op5_line_dedup,
     "op6_quality_model": op6_quality_model,
     "op7_decontamination": op7_decontamination,
     "op8_packing": op8_packing,
