@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, decontamination, license_scan, line_dedup, packing, quality_model, quality_rules, simhash_dedup, substring_dedup
+from tidemark.llm import chat_format, decontamination, html_extract, license_scan, line_dedup, packing, quality_model, quality_rules, simhash_dedup, substring_dedup
 
 #: The file of the tokenizer that texts are packed with; a parameter of the operator.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -81,6 +81,10 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_license_scan": op2_license_scan,
@@ -91,4 +95,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontamination": op7_decontamination,
     "op8_packing": op8_packing,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_html_extract": op10_html_extract,
 }
