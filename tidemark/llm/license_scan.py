@@ -21,11 +21,12 @@ from __future__ import annotations
 import math
 import random
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "unknown"
@@ -170,38 +171,56 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of the value, which is computed once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def judged(paragraph: Column, model: Model) -> Column:
+    """struct<family, probability, similarity> of a paragraph; null if it has no feature or is unknown."""
+    known = F.array(*[F.lit(g) for g in model.weights])
+    weights = F.create_map(*[x for g, w in model.weights.items() for x in (F.lit(g), F.array(*map(F.lit, w)))])
+    start = F.array(*[F.lit(b) for b in model.intercept])
+    families = F.array(*[F.lit(f) for f in model.families])
+    templates = F.create_map(*[x for f, ts in TEMPLATES.items() for x in (F.lit(f), F.array(*[F.array(*map(F.lit, ngrams_of(t))) for t in ts]))])
+
+    def of_words(words: Column) -> Column:
+        pairs = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, k: F.concat(F.get(words, k), F.lit(" "), w))
+        return _let(F.array_distinct(F.concat(words, pairs)), of_grams)
+
+    def of_grams(grams: Column) -> Column:
+        found = F.array_intersect(grams, known)
+        logits = F.aggregate(found, start, lambda acc, g: F.zip_with(acc, F.element_at(weights, g), lambda a, b: a + b))
+        shifted = _let(logits, lambda z: _let(F.array_max(z), lambda top: F.transform(z, lambda x: F.exp((x - top) / F.lit(model.temperature)))))
+        return _let(shifted, lambda e: of_scores(grams, e))
+
+    def of_scores(grams: Column, e: Column) -> Column:
+        family = F.element_at(families, F.array_position(e, F.array_max(e)).cast("int"))
+        near = F.array_max(F.transform(F.element_at(templates, family), lambda t: F.size(F.array_intersect(t, grams)) / F.size(t)))
+        found = F.struct(family.alias("family"), F.round(F.array_max(e) / F.aggregate(e, F.lit(0.0), lambda a, b: a + b), 4).alias("probability"), F.round(near, 4).alias("similarity"))
+        return F.when(family != UNKNOWN, found)
+
+    return _let(F.regexp_extract_all(F.lower(paragraph), F.lit(_WORD), F.lit(0)), of_words)
+
+
 def scan(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", certain: float = CERTAIN, confirm: float = CONFIRM) -> DataFrame:
-    """A row for each paragraph with a key word that is predicted to be a licence or nearly so.
+    """A row for each paragraph that the model takes for a licence, or would if it were surer.
 
-    ``id_col``, ``line_no``, ``paragraph``, ``family`` (``unknown`` below ``certain``), ``probability`` of that family,
-    ``similarity`` to its nearest template and ``confirmed``. Narrow: there is no shuffle.
+    ``id_col``, ``line_no``, ``paragraph``, ``family`` (``unknown`` below ``certain``), ``probability`` of the likeliest
+    family, ``similarity`` to its nearest template and ``confirmed``. Narrow: there is no shuffle.
     """
     model = model or trained()
     wanted = r"(?i)(?<![a-z0-9])(?:" + "|".join(model.key_words) + r")(?![a-z0-9])"
     lines = docs.where(F.col("text").rlike(wanted)).select(id_col, F.posexplode(F.split("text", "\n", -1)).alias("line_no", "paragraph")).where(F.col("paragraph").rlike(wanted))
-    lines = lines.withColumn("words__", F.regexp_extract_all(F.lower("paragraph"), F.lit(_WORD), F.lit(0)))
-    pairs = F.transform(F.slice("words__", 2, F.greatest(F.size("words__") - 1, F.lit(0))), lambda w, k: F.concat(F.get("words__", k), F.lit(" "), w))
-    lines = lines.withColumn("grams__", F.array_distinct(F.concat("words__", pairs)))
-    known = F.array(*[F.lit(g) for g in model.weights])
-    weights = F.create_map(*[x for g, w in model.weights.items() for x in (F.lit(g), F.array(*map(F.lit, w)))])
-    lines = lines.withColumn("found__", F.array_intersect("grams__", known)).where(F.size("found__") > 0)
-    zero = F.array(*[F.lit(b) for b in model.intercept])
-    lines = lines.withColumn("logits__", F.aggregate("found__", zero, lambda acc, g: F.zip_with(acc, F.element_at(weights, g), lambda a, b: a + b)))
-    top = F.array_max("logits__")
-    lines = lines.withColumn("exp__", F.transform("logits__", lambda x: F.exp((x - top) / F.lit(model.temperature))))
-    families = F.array(*[F.lit(f) for f in model.families])
-    best = F.array_position("exp__", F.array_max("exp__")).cast("int")
-    lines = lines.withColumn("best__", F.element_at(families, best)).withColumn("probability", F.round(F.array_max("exp__") / F.aggregate("exp__", F.lit(0.0), lambda a, b: a + b), 4))
-    lines = lines.where(F.col("best__") != UNKNOWN)
-    templates = F.create_map(*[x for f, ts in TEMPLATES.items() for x in (F.lit(f), F.array(*[F.array(*map(F.lit, ngrams_of(t))) for t in ts]))])
-    near = F.array_max(F.transform(F.element_at(templates, F.col("best__")), lambda t: F.size(F.array_intersect(t, F.col("grams__"))) / F.size(t)))
-    lines = lines.withColumn("similarity", F.round(near, 4))
+    # the verdict passes through a generator, below which no filter on it can be pushed and repeat its work
+    lines = lines.select(id_col, "line_no", "paragraph", F.explode(F.filter(F.transform(F.array("paragraph"), lambda p: judged(p, model)), lambda j: j.isNotNull())).alias("j__"))
+    sure = F.col("j__.probability") >= certain
     return lines.select(
         id_col,
         "line_no",
         "paragraph",
-        F.when(F.col("probability") >= certain, F.col("best__")).otherwise(F.lit(UNKNOWN)).alias("family"),
-        "probability",
-        "similarity",
-        ((F.col("probability") >= certain) & (F.col("similarity") >= confirm)).alias("confirmed"),
+        F.when(sure, F.col("j__.family")).otherwise(F.lit(UNKNOWN)).alias("family"),
+        F.col("j__.probability").alias("probability"),
+        F.col("j__.similarity").alias("similarity"),
+        (sure & (F.col("j__.similarity") >= confirm)).alias("confirmed"),
     )
