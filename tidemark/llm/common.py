@@ -9,7 +9,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker holds as words at one time; a single longer text is one chunk.
 CHUNK_BYTES = 2 << 20
@@ -66,6 +67,12 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def hash_share(share: float, *columns: str) -> Column:
+    """Rows whose columns hash into the lowest ``share`` of all hashes: a sample that any partitioning gives alike."""
+    edge = int(min(1.0, share) * 2**64) - 2**63 - 1
+    return F.xxhash64(*columns) <= F.lit(edge).cast("long")
+
+
 # ---------------------------------------------------------------- texts in Arrow batches
 
 

@@ -11,7 +11,8 @@ over the shards' words for each block, so no more than a block is ever held at o
 
 Defined results: a null or empty text has no words and no hits; a null or empty item has no windows; an item whose
 id is null is searched and its words count as hit, but no id is listed; repeated items count once by id; repeated
-documents are judged alike; empty tables give empty results or no hits; further columns are ignored unless in ``keep``.
+documents are judged alike; empty tables give empty results or no hits; further columns are ignored
+unless in ``keep``, where a column named like a made one gives way.
 """
 
 from __future__ import annotations
@@ -186,31 +187,31 @@ def annotate(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("do
     """``keep``, ``n_words``, ``hit_runs`` (word numbers first, end, ...), ``items`` and ``near_items`` (sorted ids)."""
     spark = docs.sparkSession
     common.small_batches(spark)
-    made = ("text__", "n_words", "hit_runs", "items", "near_items")
-    rows = docs.select(*keep, F.col("text").alias("text__"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("hit_runs"), F.array().cast("array<string>").alias("items"), F.array().cast("array<string>").alias("near_items"))
-    schema = rows.schema.simpleString()[len("struct<") : -1]
+    source = "text" if "text" in keep else "text__"
+    made = ("n_words__", "hit_runs__", "items__", "near_items__")
+    rows = docs.select(*keep, *([] if source == "text" else [F.col("text").alias(source)]), F.lit(0).cast("long").alias("n_words__"), F.array().cast("array<int>").alias("hit_runs__"), F.array().cast("array<string>").alias("items__"), F.array().cast("array<string>").alias("near_items__"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     for items in _blocks(benchmark, block_bytes):
         sent = spark.sparkContext.broadcast(Block(items, window))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             block = sent.value
-            for batch in common.chunks(batches, "text__", SHARD_BYTES):
-                words = [words_of(t) for t in common.texts_of(batch, "text__")]
+            for batch in common.chunks(batches, source, SHARD_BYTES):
+                words = [words_of(t) for t in common.texts_of(batch, source)]
                 runs, found, near = _search_shard(words, block, window, slack)
-                old = {c: batch.column(batch.schema.get_field_index(c)).to_pylist() for c in made[2:]}
+                old = {c: batch.column(batch.schema.get_field_index(c)).to_pylist() for c in made[1:]}
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *batch.columns[: len(keep) + 1],
+                        *batch.columns[: -len(made)],
                         pa.array([len(w) for w in words], pa.int64()),
-                        pa.array([_merged(a, b) if a and b else a or b for a, b in zip(old["hit_runs"], runs, strict=True)], pa.list_(pa.int32())),
-                        *(pa.array([sorted(new.union(was)) for was, new in zip(old[c], of, strict=True)], pa.list_(pa.string())) for c, of in (("items", found), ("near_items", near))),
+                        pa.array([_merged(a, b) if a and b else a or b for a, b in zip(old["hit_runs__"], runs, strict=True)], pa.list_(pa.int32())),
+                        *(pa.array([sorted(new.union(was)) for was, new in zip(old[c], of, strict=True)], pa.list_(pa.string())) for c, of in (("items__", found), ("near_items__", near))),
                     ],
                     names=batch.schema.names,
                 )
 
         rows = rows.mapInArrow(run, schema)
-    return rows.drop("text__")
+    return rows.select(*(c for c in keep if f"{c}__" not in made), *(F.col(c).alias(c.removesuffix("__")) for c in made))
 
 
 def n_hit() -> F.Column:
