@@ -430,9 +430,10 @@ def st_kruskal(spark, sf_dir):
     return ranks.kruskal(fx.table(spark, sf_dir, "events"), "event_type", "value")
 
 
-@query("st_kruskal_subjects", o.with_(*o.TO_MEASURED, f"src as (select subject, abs(adj_r_{M}) av from ms)", _KW.format(g="subject", v="av", t="src")) + "select round(H, 6) \"H\", round((H - k + 1) / (n - k), 6) epsilon_sq, n::bigint n, k from kw")
+@query("st_kruskal_subjects", o.with_(*o.TO_MEASURED, f"src as (select subject, round(abs(adj_r_{M}), 9) av from ms)", _KW.format(g="subject", v="av", t="src")) + "select round(H, 6) \"H\", round((H - k + 1) / (n - k), 6) epsilon_sq, n::bigint n, k from kw")
 def st_kruskal_subjects(spark, sf_dir):
-    return ranks.kruskal(study(spark, sf_dir).measured, "subject", f"abs_adj_r_{M}")
+    """Responses rounded first, so that values that are equal but for the order of a sum tie."""
+    return ranks.kruskal(study(spark, sf_dir).measured.withColumn("v", F.round(f"abs_adj_r_{M}", 9)), "subject", "v")
 
 
 @query("st_dunn", "with " + _KW.format(g="event_type", v="value", t="events") + _DUNN)
