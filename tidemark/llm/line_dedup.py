@@ -52,32 +52,43 @@ def _half_keys(line: Column, size: Column) -> Column:
     return F.array(*keys)
 
 
+_KEYS = "array<struct<size:int,key:bigint,cut:int>>"
+
+
 def _place() -> Column:
     return F.struct(*_PLACE)
 
 
 def _neighbourhood(texts: DataFrame) -> DataFrame:
-    """(size, key, at) and the line's own columns: its deletion variants, and itself at 0."""
-    chars = texts.select(*_LINE, "first", F.posexplode(F.split("line", "")).alias("at", "c")).where("c <> ''")
+    """(size, key, cut) and the line's own columns: its deletion variants, and itself at cut 0.
+
+    Only the half that a partner need not share is cut: where the first halves are equal the edit lies behind them, and
+    the other way round. Lines are dealt out before they become characters, so that the windows need no exchange.
+    """
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chars = texts.repartition(n, *_LINE).select(*_LINE, "first", "head_shared", "tail_shared", F.posexplode(F.split("line", "")).alias("at", "c")).where("c <> ''")
     every = Window.partitionBy(*_LINE)
     before = every.orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    chars = chars.select(*_LINE, "first", "at", F.xxhash64("c", "at").alias("here"), F.xxhash64("c", F.col("at") - 1).alias("left"))
+    half = F.floor((F.col("len") - 1) / 2)
+    wanted = (F.col("head_shared") & (F.col("at") >= half)) | (F.col("tail_shared") & (F.col("at") < F.col("len") - half))
+    chars = chars.select(*_LINE, "first", wanted.alias("wanted"), "at", F.xxhash64("c", "at").alias("here"), F.xxhash64("c", F.col("at") - 1).alias("left"))
     # the running sums take in the deleted character twice or not at all, so it cancels
     chars = chars.withColumns({"head": F.bit_xor("here").over(before), "tail": F.bit_xor("left").over(before), "whole_left": F.bit_xor("left").over(every), "whole": F.bit_xor("here").over(every)})
     variant = F.col("head").bitwiseXOR(F.col("here")).bitwiseXOR(F.col("whole_left")).bitwiseXOR(F.col("tail"))
-    keys = F.array(F.struct((F.col("len") - 1).alias("size"), variant.alias("key"), (F.col("at") + 1).alias("cut")))
-    itself = F.when(F.col("at") == 0, F.array(F.struct(F.col("len").alias("size"), F.col("whole").alias("key"), F.lit(0).alias("cut")))).otherwise(F.array().cast("array<struct<size:int,key:bigint,cut:int>>"))
-    return chars.select(*_LINE, "first", F.explode(F.concat(keys.cast("array<struct<size:int,key:bigint,cut:int>>"), itself)).alias("k")).select(*_LINE, "first", "k.*")
+    keys = F.when(F.col("wanted"), F.array(F.struct((F.col("len") - 1).alias("size"), variant.alias("key"), (F.col("at") + 1).alias("cut"))).cast(_KEYS)).otherwise(F.array().cast(_KEYS))
+    itself = F.when(F.col("at") == 0, F.array(F.struct(F.col("len").alias("size"), F.col("whole").alias("key"), F.lit(0).alias("cut"))).cast(_KEYS)).otherwise(F.array().cast(_KEYS))
+    return chars.select(*_LINE, "first", F.explode(F.concat(keys, itself)).alias("k")).select(*_LINE, "first", "k.*")
 
 
 def earlier_neighbours(distinct: DataFrame, lines: DataFrame) -> DataFrame:
     """(h1, h2, len, earliest): the earliest place of a line one edit away that comes before the line's own first."""
-    keys = distinct.select(*_LINE, "first", F.explode("halves").alias("half"))
+    keys = distinct.select(*_LINE, "first", F.posexplode("halves").alias("side", "half"))
     shared = keys.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select(F.col("half").alias("half2"))
-    suspects = keys.join(shared, F.col("half") == F.col("half2"), "left_semi").select(*_LINE, "first").distinct()
-    named = suspects.select(*(F.col(c).alias(f"s_{c}") for c in _LINE), "first")
+    suspects = keys.join(shared, F.col("half") == F.col("half2"), "left_semi")
+    suspects = suspects.groupBy(*_LINE, "first").agg(F.max(F.col("side") % 2 == 0).alias("head_shared"), F.max(F.col("side") % 2 == 1).alias("tail_shared"))
+    named = suspects.select(*(F.col(c).alias(f"s_{c}") for c in _LINE), "first", "head_shared", "tail_shared")
     on = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th")) & (F.col("line_no") == F.col("first.line_no")) & (F.xxhash64("line") == F.col("s_h1"))
-    texts = lines.join(named, on).select(*(F.col(f"s_{c}").alias(c) for c in _LINE), "first", "line").dropDuplicates(list(_LINE))
+    texts = lines.join(named, on).select(*(F.col(f"s_{c}").alias(c) for c in _LINE), "first", "head_shared", "tail_shared", "line").dropDuplicates(list(_LINE))
     texts = common.written(texts, "suspect-lines")
     who = F.struct("first", *_LINE)
     near = _neighbourhood(texts).withColumn("who", who)
