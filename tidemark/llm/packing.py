@@ -15,8 +15,11 @@ columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,47 +35,58 @@ LENGTH, END = 4096, 2
 DIMS, CURVE_BITS = 3, 10
 
 #: Words whose ids a worker remembers, and the longest that it remembers.
-CACHE_WORDS, CACHE_BYTES = 250_000, 48
+CACHE_WORDS, CACHE_BYTES = 400_000, 48
+
+
+#: ASCII without control characters, and the letters of Latin-1: what these characters become is the same in all versions.
+_PLAIN = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+
+# Fixed value: how this vocabulary's file cuts lower-cased words, for the characters above.
+_CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+
+
+class _Words(dict):
+    """Word (UTF-8) to its ids as little-endian 16-bit numbers; unknown words are encoded, and kept while there is room.
+
+    A plain word is cut here and goes to the BPE model piece by piece; any other goes through the whole tokenizer.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        super().__init__()
+        self.whole = Tokenizer.from_file(path)
+        self.model = self.whole.model
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}
+
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode()
+        if _PLAIN.fullmatch(text) and "<|" not in text:
+            pieces = _CUT.findall(text.lower())
+            ids = [t.id for x in pieces for t in self.model.tokenize(x if x.isascii() else x.translate(self.letters))]
+        else:
+            ids = self.whole.encode(text, add_special_tokens=False).ids
+        out = array("H", ids).tobytes()
+        if len(word) <= CACHE_BYTES and len(self) < CACHE_WORDS:
+            self[word] = out
+        return out
 
 
 class WordTokenizer:
     """Token ids of texts by way of their words between white space, which no token of this vocabulary crosses."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self._tokenizer = Tokenizer.from_file(path)
-        self._known: dict[bytes, bytes] = {}
-
-    def _encode_words(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each word, as little-endian 16-bit numbers."""
-        strings = [w.decode() for w in words]
-        lens = np.fromiter(map(len, strings), np.int64, len(words)) + 1
-        encoded = self._tokenizer.encode(" ".join(strings), add_special_tokens=False)
-        ids = np.array(encoded.ids, "<u2")
-        first = np.fromiter((a for a, _ in encoded.offsets), np.int64, len(ids))
-        place = np.searchsorted(np.cumsum(lens) - lens, first, "right") - 1
-        cut = np.searchsorted(place, np.arange(len(words) + 1)).tolist()
-        raw = ids.tobytes()
-        return [raw[2 * a : 2 * b] for a, b in zip(cut, cut[1:], strict=False)]
+        self._ids = _Words(path).__getitem__
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        known = self._known
-        split = [t.split() for t in texts]
-        new = list(set().union(*split).difference(known))
-        at = 0
-        while at < len(new):  # a few thousand words at a time, fewer when they are long
-            stop, size = at, 0
-            while stop < len(new) and stop - at < 4000 and (size := size + len(new[stop])) < 1 << 20 or stop == at:
-                stop += 1
-            known.update(zip(new[at:stop], self._encode_words(new[at:stop]), strict=True))
-            at = stop
-        get = known.__getitem__
-        out = [b"".join(map(get, words)) for words in split]
-        room = max(0, CACHE_WORDS - (len(known) - len(new)))
-        for w in new if room == 0 else [*(w for w in new[:room] if len(w) > CACHE_BYTES), *new[room:]]:
-            del known[w]
-        return out
+        return [b"".join(map(self._ids, t.split())) for t in texts]
+
+
+@cache
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One for all tasks of a Python worker, so that its memory of words lasts."""
+    return WordTokenizer(path)
 
 
 _signs: dict[int, np.ndarray] = {}
@@ -118,7 +132,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id") -> D
     common.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokenizer(tokenizer_path)
+        words = word_tokenizer(tokenizer_path)
         end = END.to_bytes(2, "little")
         for batch in common.chunks(batches):
             rows = [x + end for x in words.encode(common.texts_of(batch))]
