@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 #: Bytes of text that a Python worker holds as words at one time; a single longer text is one chunk.
 CHUNK_BYTES = 2 << 20
 
-#: Rows that Spark puts in one Arrow batch for a Python worker.
-BATCH_ROWS = 2000
+#: Rows that Spark puts in one Arrow batch for a Python worker; few, since any of them may be very long.
+BATCH_ROWS = 256
 
 _M64 = (1 << 64) - 1
 
@@ -91,7 +91,9 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with at most ``limit`` bytes of text, or one longer row."""
+    """The rows in batches of at most ``limit`` bytes of text, or one longer row; short batches are put together."""
+    waiting: list[pa.RecordBatch] = []
+    size = 0
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -99,10 +101,21 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         _, offsets = text_buffer(batch.column(batch.schema.get_field_index(column)))
         start = 0
         while start < n:
-            stop = int(np.searchsorted(offsets, offsets[start] + limit, "right")) - 1
-            stop = min(max(stop, start + 1), n)
-            yield batch.slice(start, stop - start)
+            stop = int(np.searchsorted(offsets, offsets[start] + limit - size, "right")) - 1
+            stop = min(max(stop, start if waiting else start + 1), n)
+            if stop > start:
+                waiting.append(batch.slice(start, stop - start))
+                size += int(offsets[stop] - offsets[start])
+            if stop < n:
+                yield _together(waiting)
+                waiting, size = [], 0
             start = stop
+    if waiting:
+        yield _together(waiting)
+
+
+def _together(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.concat_batches(batches)
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
