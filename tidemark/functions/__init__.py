@@ -1 +1 @@
-
+"""Statistics."""

@@ -1 +1 @@
-
+"""Relational operators of the study."""

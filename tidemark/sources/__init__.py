@@ -1 +1 @@
-
+"""Scans, caches, fixtures and sinks."""
