@@ -12,7 +12,7 @@ over the shards' words for each block, so no more than a block is ever held at o
 Defined results: a null or empty text has no words and no hits; a null or empty item has no windows; an item whose
 id is null is searched and its words count as hit, but no id is listed; repeated items count once by id; repeated
 documents are judged alike; empty tables give empty results or no hits; further columns are ignored
-unless in ``keep``, where a column named like a made one gives way.
+unless in ``keep``, where a column named like a made one gives way (``prefix`` renames those).
 """
 
 from __future__ import annotations
@@ -183,8 +183,8 @@ def _merged(old: list[int], new: list[int]) -> list[int]:
     return out
 
 
-def annotate(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), window: int = WINDOW, slack: int = SLACK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``keep``, ``n_words``, ``hit_runs`` (word numbers first, end, ...), ``items`` and ``near_items`` (sorted ids)."""
+def annotate(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), window: int = WINDOW, slack: int = SLACK, block_bytes: int = BLOCK_BYTES, prefix: str = "") -> DataFrame:
+    """``keep`` and, their names after ``prefix``, ``n_words``, ``hit_runs`` (word numbers first, end, ...), ``items`` and ``near_items`` (sorted ids)."""
     spark = docs.sparkSession
     common.small_batches(spark)
     source = "text" if "text" in keep else "text__"
@@ -211,7 +211,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("do
                 )
 
         rows = rows.mapInArrow(run, schema)
-    return rows.select(*(c for c in keep if f"{c}__" not in made), *(F.col(c).alias(c.removesuffix("__")) for c in made))
+    return rows.select(*(c for c in keep if c not in {prefix + m.removesuffix("__") for m in made}), *(F.col(c).alias(prefix + c.removesuffix("__")) for c in made))
 
 
 def n_hit() -> F.Column:

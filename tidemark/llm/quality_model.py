@@ -210,8 +210,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     return fit(bags, np.array([y for _, y, _ in found], np.float64))
 
 
-def score(docs: DataFrame, model: Attention | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` and ``score`` of every row."""
+def score(docs: DataFrame, model: Attention | None, keep: tuple[str, ...] = ("doc_id",), into: str = "score") -> DataFrame:
+    """``keep`` and the score, under the name ``into``, of every row."""
     spark = docs.sparkSession
     common.small_batches(spark)
     sent = spark.sparkContext.broadcast(model)
@@ -223,11 +223,11 @@ def score(docs: DataFrame, model: Attention | None, keep: tuple[str, ...] = ("do
             else:
                 x, first = encode(batch)
                 scores = np.round(sent.value.score(x, first), 6)
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(scores)], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(scores)], names=[*keep, into])
 
     rows = docs.select(*dict.fromkeys([*keep, "text"]))
-    return rows.mapInArrow(run, ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", score double")
+    return rows.mapInArrow(run, ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + f", `{into}` double")
 
 
-def predicted(threshold: float = THRESHOLD) -> Column:
-    return (F.col("score") >= threshold).cast("int")
+def predicted(threshold: float = THRESHOLD, score: str = "score") -> Column:
+    return (F.col(score) >= threshold).cast("int")
