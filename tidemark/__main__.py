@@ -1,4 +1,4 @@
-"""Run a whole study: python -m tidemark --codes 500180=HDFCBANK,... [--data DIR] [--out DIR]"""
+"""Run a whole study: python -m tidemark --codes 1=AAA,2=BBB [--data DIR] [--out DIR]"""
 
 from __future__ import annotations
 
