@@ -117,6 +117,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", min_chars: int = MIN_
     near = earlier_neighbours(distinct, lines).select(*(F.col(c).alias(f"n_{c}") for c in _LINE), "earliest")
     least = distinct.join(near, [F.col(c) == F.col(f"n_{c}") for c in _LINE], "left").where("n > 1 or earliest is not null")
     least = least.select(*(F.col(c).alias(f"d_{c}") for c in _LINE), F.least("first", "earliest").alias("stays"))
+    least = common.written(least, "kept-lines")  # a scan on either side lets Spark split the occurrences of a hot line
     gone = hashed.join(least, [F.col(c) == F.col(f"d_{c}") for c in _LINE]).where(_place() > F.col("stays"))
     return gone.groupBy(F.col("id").alias("rid__"), F.col("th").alias("rth__")).agg(F.collect_set("line_no").alias("gone__"))
 
