@@ -165,6 +165,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", radius: int = RADIU
     least = linked.groupBy("root").agg(F.min("first_id").alias("component_id")).withColumnRenamed("root", "r")
     own = linked.join(least, F.col("root") == F.col("r")).select(F.col("fp").alias("fp_l"), "root", "component_id")
     by_fp = distinct.join(own, F.col("fp") == F.col("fp_l"), "left").select(F.col("fp").alias("fp_k"), F.coalesce("component_id", "first_id").alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    by_fp = common.written(by_fp, "components")  # a scan on either side lets Spark split the copies of a hot text
     return marked.join(by_fp, F.col("fp") == F.col("fp_k"), "left").select(id_col, *keep, "fp", "component_id", "root")
 
 
@@ -173,6 +174,6 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     own_hash = F.xxhash64("text")
     marked = near_duplicates(docs.select(id_col, "text", own_hash.alias("text_hash")), id_col, keep=("text_hash",))
     winner = marked.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("text_hash").alias("th"))).alias("w"))
-    winner = winner.select(F.col("w.id").alias("won_id"), F.col("w.th").alias("won_hash")).distinct()
-    kept = docs.join(winner, F.col(id_col).eqNullSafe(F.col("won_id")) & (own_hash == F.col("won_hash")), "left_semi")
+    winner = winner.select(F.col("w.id").alias("won_id__"), F.col("w.th").alias("won_hash__")).distinct()
+    kept = docs.join(winner, F.col(id_col).eqNullSafe(F.col("won_id__")) & (own_hash == F.col("won_hash__")), "left_semi")
     return kept.withColumn("own_hash__", F.xxhash64("text")).dropDuplicates([id_col, "own_hash__"]).drop("own_hash__")
