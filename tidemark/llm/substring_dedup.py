@@ -164,6 +164,7 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", window: int = WINDO
     edges = edges.groupBy("eid", "eth").agg(F.collect_list("first").alias("edges"))
     looked = common.written(_boundary_windows(source.join(edges, F.col("id").eqNullSafe(F.col("eid")) & (F.col("th") == F.col("eth"))).select("id", "th", "text", "edges"), window, gram), "boundary")
     twice = looked.groupBy("hash").agg(F.count("*").alias("c")).where("c > 1").select(F.col("hash").alias("h2"))
+    twice = common.written(twice, "boundary-hits")  # a scan on either side lets Spark split a hot window
     found = looked.join(twice, F.col("hash") == F.col("h2")).select("id", "th", F.col("at").alias("first"), F.lit(1).alias("n"))
     return whole.union(found).groupBy("id", "th").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
 
