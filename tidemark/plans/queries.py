@@ -54,6 +54,11 @@ def study(spark: SparkSession, sf_dir: str) -> Study:
     return _studies[key]
 
 
+def forget() -> None:
+    """Let the next query write its stages anew."""
+    _studies.clear()
+
+
 def r(*names: str) -> str:
     return ", ".join(f"round({n}, 6) {n}" for n in names)
 
