@@ -3,7 +3,7 @@
 Every text is tokenised once. Its hashed token vector is projected to ``DIMS`` dimensions by fixed random signs and
 scaled to unit length; the Hilbert number of that point orders documents so that neighbours use similar words. Rows are
 range-partitioned and sorted by that number, then by a hash of the id, so that a third of all rows with one point still
-spread over many tasks. Each partition is then cut, in order, into sequences of ``LENGTH`` tokens. What is left at a
+spread over many tasks; long documents are several rows. Each partition is then cut, in order, into sequences of ``LENGTH`` tokens. What is left at a
 partition's end is cut at powers of two, which need no padding.
 
 The tokenised rows are written once to the shared folder, since range partitioning reads its input twice.
@@ -31,6 +31,9 @@ from tidemark.llm import common
 
 LENGTH, END = 4096, 2
 
+#: Most tokens of a document in one row before packing, so that rows are dealt out evenly.
+SEGMENT = 8192
+
 #: Dimensions of the projection and bits for each on the curve.
 DIMS, CURVE_BITS = 3, 10
 
@@ -128,7 +131,8 @@ def hilbert_key(cells: np.ndarray, bits: int = CURVE_BITS) -> np.ndarray:
 
 
 def tokenised(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id") -> DataFrame:
-    """(id, curve, ids): little-endian 16-bit token ids with the end token, and the place on the curve."""
+    """(id, curve, total, start, ids): each document's place on the curve and its little-endian 16-bit token ids with the
+    end token, in rows of at most ``SEGMENT`` ids from ``start`` on."""
     common.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,9 +144,20 @@ def tokenised(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id") -> D
             point = projected(ids, np.cumsum([len(x) // 2 for x in rows]))
             side = 1 << CURVE_BITS
             cells = np.clip(((point + 1) / 2 * side).astype(np.int64), 0, side - 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hilbert_key(cells)), pa.array(rows, pa.binary())], names=["id", "curve", "ids"])
-
-    return docs.select(F.col(id_col).cast("long").alias("id"), "text").mapInArrow(run, "id long, curve long, ids binary")
+            parts = [(i, len(x) // 2, at) for i, x in enumerate(rows) for at in range(0, len(x) // 2, SEGMENT)]
+            of = pa.array([i for i, _, _ in parts], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(of),
+                    pa.array(hilbert_key(cells)).take(of),
+                    pa.array([n for _, n, _ in parts], pa.int64()),
+                    pa.array([at for _, _, at in parts], pa.int64()),
+                    pa.array([rows[i][2 * at : 2 * (at + SEGMENT)] for i, _, at in parts], pa.binary()),
+                ],
+                names=["id", "curve", "total", "start", "ids"],
+            )
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), "text").mapInArrow(run, "id long, curve long, total long, start long, ids binary")
 
 
 class _Packer:
@@ -199,14 +214,15 @@ PIECE = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "off
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", length: int = LENGTH) -> DataFrame:
     """One row for each piece of a document in a sequence; see PIECE, with ``id_col`` for id."""
     rows = common.written(tokenised(docs, tokenizer_path, id_col), "tokens")
-    rows = rows.withColumn("tie", F.xxhash64("id", "ids"))
-    ranged = rows.repartitionByRange(F.col("curve"), F.col("tie")).sortWithinPartitions("curve", "tie").select("id", "ids")
+    rows = rows.withColumn("tie", F.xxhash64("id", "total"))
+    order = ("curve", "tie", "start")
+    ranged = rows.repartitionByRange(*map(F.col, order)).sortWithinPartitions(*order).select("id", "total", "start", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = _Packer(TaskContext.get().partitionId() << 40, length)
         for batch in batches:
-            for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                packer.add(doc, np.frombuffer(ids.as_buffer(), "<u2"))
+            for doc, total, start, ids in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
+                packer.add(doc, np.frombuffer(ids.as_buffer(), "<u2"), None, start, total)
             yield packer.drain()
         packer.finish()
         yield packer.drain()
