@@ -1,3 +1,5 @@
+import textwrap
+
 from tidemark.llm import license_scan as op
 
 CASES = {
@@ -47,3 +49,12 @@ def test_empty_and_native(spark, no_docs):
     assert out.count() == 0
     plan = out._jdf.queryExecution().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def test_wrapped_notices_are_confirmed(spark):
+    wrapped = {f: [textwrap.fill(t, 76) for t in ts if len(t) > 120] for f, ts in op.TEMPLATES.items()}
+    texts = [("prose here\n\n" + t + "\n \nmore prose", f) for f, ts in wrapped.items() for t in ts]
+    assert {"MIT", "GPL", "BSD"} <= {f for _, f in texts}
+    got = op.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")).collect()
+    assert sorted({(r.doc_id, r.family) for r in got if r.confirmed}) == [(i, f) for i, (_, f) in enumerate(texts)]
+    assert all(r.line_no == 2 for r in got if r.confirmed)

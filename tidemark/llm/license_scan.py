@@ -1,6 +1,6 @@
 """Licence scan: a trained paragraph classifier, confirmed by template comparison, with DataFrame functions only.
 
-Paragraphs (lines) are sparse bags of word 1- and 2-grams. A multinomial logistic regression over those n-grams gives each
+Paragraphs are single lines, and all lines between blank ones joined, since notices are often wrapped. They are sparse bags of word 1- and 2-grams. A multinomial logistic regression over those n-grams gives each
 licence family a probability, with ``unknown`` a class of its own. Its vocabulary is chosen from the training paragraphs:
 their n-grams with a *key word*, a word that licence paragraphs use and the counter-examples without a licence do not,
 and the 2-grams of the templates. A paragraph without a key word is unknown by definition and leaves before any n-gram
@@ -203,17 +203,47 @@ def judged(paragraph: Column, model: Model) -> Column:
     return _let(F.regexp_extract_all(F.lower(paragraph), F.lit(_WORD), F.lit(0)), of_words)
 
 
+def _blocks(lines: Column) -> Column:
+    """array<struct<first, lines>>: the runs of lines that are not blank, and the number of the first line of each."""
+    every = F.sequence(F.lit(0), F.size(lines) - 1)
+
+    def solid(k: Column) -> Column:
+        return F.coalesce(F.get(lines, k).rlike(r"\S"), F.lit(False))
+
+    first = F.filter(every, lambda k: solid(k) & ~solid(k - 1))
+    last = F.filter(every, lambda k: solid(k) & ~solid(k + 1))
+    return F.zip_with(first, last, lambda a, b: F.struct(a.alias("first"), F.slice(lines, a + 1, b - a + 1).alias("lines")))
+
+
 def scan(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", certain: float = CERTAIN, confirm: float = CONFIRM) -> DataFrame:
-    """A row for each paragraph that the model takes for a licence, or would if it were surer.
+    """A row for each line that the model takes for a licence, or would if it were surer, and one for the lines between two
+    blank ones if these are confirmed together for a family that none of them is confirmed for alone.
 
     ``id_col``, ``line_no``, ``paragraph``, ``family`` (``unknown`` below ``certain``), ``probability`` of the likeliest
     family, ``similarity`` to its nearest template and ``confirmed``. Narrow: there is no shuffle.
     """
     model = model or trained()
     wanted = r"(?i)(?<![a-z0-9])(?:" + "|".join(model.key_words) + r")(?![a-z0-9])"
-    lines = docs.where(F.col("text").rlike(wanted)).select(id_col, F.posexplode(F.split("text", "\n", -1)).alias("line_no", "paragraph")).where(F.col("paragraph").rlike(wanted))
+    lines = docs.where(F.col("text").rlike(wanted)).select(id_col, F.split("text", "\n", -1).alias("lines__"))
+    blocks = lines.select(id_col, F.explode(_blocks(F.col("lines__"))).alias("b__")).where(F.array_join("b__.lines", " ").rlike(wanted))
+
+    def rows(paragraphs: Column) -> Column:
+        """Verdicts of the paragraphs (no, paragraph), without those that are null."""
+        seen = F.filter(paragraphs, lambda p: p["paragraph"].rlike(wanted))
+        found = F.transform(seen, lambda p: F.struct(p["no"].alias("no"), p["paragraph"].alias("paragraph"), judged(p["paragraph"], model).alias("j")))
+        return F.filter(found, lambda r: r["j"].isNotNull())
+
+    def agreed(r: Column) -> Column:
+        return (r["j"]["probability"] >= certain) & (r["j"]["similarity"] >= confirm)
+
+    def with_whole(alone: Column, whole: Column) -> Column:
+        return F.concat(alone, F.filter(whole, lambda r: agreed(r) & ~F.exists(alone, lambda a: agreed(a) & (a["j"]["family"] == r["j"]["family"]))))
+
+    each = F.transform(F.col("b__.lines"), lambda x, k: F.struct((F.col("b__.first") + k).alias("no"), x.alias("paragraph")))
+    joined = F.filter(F.array(F.struct(F.col("b__.first").alias("no"), F.array_join("b__.lines", "\n").alias("paragraph"))), lambda _: F.size("b__.lines") > 1)
     # the verdict passes through a generator, below which no filter on it can be pushed and repeat its work
-    lines = lines.select(id_col, "line_no", "paragraph", F.explode(F.filter(F.transform(F.array("paragraph"), lambda p: judged(p, model)), lambda j: j.isNotNull())).alias("j__"))
+    lines = blocks.select(id_col, F.explode(_let(rows(each), lambda alone: with_whole(alone, rows(joined)))).alias("r__"))
+    lines = lines.select(id_col, F.col("r__.no").alias("line_no"), F.col("r__.paragraph").alias("paragraph"), F.col("r__.j").alias("j__"))
     sure = F.col("j__.probability") >= certain
     return lines.select(
         id_col,
