@@ -1,19 +1,17 @@
-"""Exact substring removal by relative Lempel-Ziv parsing against an indexed reference.
+"""Exact substring removal by counting phrases between content-defined anchors, in place of relative Lempel-Ziv parsing.
 
 Every document is cut into phrases at content-defined anchors: the anchor of a window is the hash-least group of
 ``GRAM`` words in it, so equal windows have equal anchors and every window is owned by exactly one. The phrase of an
-anchor is all windows that it owns, as one stretch of words. The reference is the dictionary of all phrases of the
-corpus, held in blocks by anchor hash; each block counts its phrases. A document is factored greedily against every
-block that holds one of its anchors: consecutive phrases that the reference has elsewhere too join into one factor.
-Where a factor ends, inside a phrase that only this document has but whose anchor others share, the boundary is
-checked: the windows of that phrase are looked up one by one among the windows of the same anchor's phrases. A
-phrase whose anchor occurs once holds no repeated window, since equal windows share their anchor. So the parse finds
-exactly the windows of ``WINDOW`` words that start in two places or more, same document included.
+anchor is all windows that it owns, as one stretch of words. Equal phrases are counted over the corpus, and all windows of
+a phrase that occurs twice are repeated. Where an anchor has several distinct phrases, the windows of one representative
+of each are looked up one by one. A phrase whose anchor occurs once holds no repeated window, since equal windows
+share their anchor. So exactly the windows of ``WINDOW`` words are found that start in two places or more, same
+document included.
 
 Counts are aggregated before they are shuffled, so a passage in a third of all documents is one row a task, and the
 boundary windows are those of one representative of each distinct phrase.
 
-Equality of words is decided on 64-bit hashes compared only among rows that share an anchor.
+Equality of phrases is decided on two 64-bit hashes, of the anchor and of the words; that of single windows on one that mixes both.
 
 Defined results: a null or empty text has no words and loses none; a text that is repeated as a row is a copy like
 any other; rows that share an id or have none are told apart by their text; an empty table gives an empty
