@@ -54,3 +54,15 @@ def test_whole_table(spark, sf_dir):
 @pytest.mark.parametrize("schema", ["page_id long, url string, html string"])
 def test_empty(spark, schema):
     assert op.extract(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_copies_of_one_page_are_no_template(spark):
+    rows = [(10 * h + i, f"http://h{h}.example/{i}", f"<body><div><p>Text of page {i // 9}</p></div></body>") for h in range(5) for i in range(10)]
+    got = op.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id, r.text) for r in got) == [(k, f"Text of page {k % 10 // 9}") for k, _, _ in rows]
+
+
+def test_deep_boilerplate_is_template(spark):
+    rows = [(i, f"http://h.example/{i}", f"<body><p>New {i}</p>" + "<div>" * 1500 + "Call us" + "</div>" * 1500 + "</body>") for i in range(5)]
+    got = op.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted(r.text for r in got) == [f"New {i}" for i in range(5)]

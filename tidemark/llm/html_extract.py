@@ -3,7 +3,7 @@
 Each page is parsed to a DOM tree, and the tree reduced to a skeleton: runs of siblings with one label become one iterated
 node. A host's reference is the skeleton of the page whose key hashes lowest. All pages of the host are aligned with it by
 simple tree matching, and for every reference node it is counted in how many pages a node matched and in how many its
-text equalled the reference's. Nodes that are constant on most pages are the host's template; the others are slots.
+text equalled the reference's. Copies of a page count once. Nodes that are constant on most pages are the host's template; the others are slots.
 
 A page's text is what lies in content slots: inside its ``article`` or ``main`` elements where it has them, else in the body.
 Elements whose kind, role or class says menu, header, footer, sidebar, notice, advert, form, script, style or
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import common
 
-#: Pages of a host that a node must be seen on, and the share with equal text, to be template.
+#: Distinct pages of a host that a node must be seen on, and the share with equal text, to be template.
 LEAST_PAGES, CONSTANT = 3, 0.6
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -135,7 +135,9 @@ def skeleton(root: Node) -> tuple[str, list[str]]:
     parts: list[str] = []
     texts: list[list[str]] = []
 
-    def walk(group: list[Node], depth: int) -> None:
+    todo: list[tuple[list[Node], int]] = [([root], 0)]
+    while todo:
+        group, depth = todo.pop()
         number = len(texts)
         texts.append([])
         for node in group:
@@ -162,11 +164,7 @@ def skeleton(root: Node) -> tuple[str, list[str]]:
             for kid in kids:
                 merged.setdefault(kid[0].label, []).extend(kid)
             kids = list(merged.values())
-        for kid in kids:
-            if depth < 60:
-                walk(kid, depth + 1)
-
-    walk([root], 0)
+        todo += [(kid, depth + 1) for kid in reversed(kids)]
     return "\n".join(parts), ["\x1f".join(t) for t in texts]
 
 
@@ -202,37 +200,42 @@ def align(a: str, b: str) -> dict[int, int]:
     weights: dict[tuple[int, int], int] = {}
     tables: dict[tuple[int, int], list[list[int]]] = {}
 
-    def weigh(x: int, y: int) -> int:
-        if la[x] != lb[y]:
-            return 0
-        if (x, y) not in weights:
-            xs, ys = ca[x], cb[y]
-            m = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
-            for i, p in enumerate(xs, 1):
-                for j, q in enumerate(ys, 1):
-                    m[i][j] = max(m[i - 1][j], m[i][j - 1], m[i - 1][j - 1] + weigh(p, q))
-            tables[x, y] = m
-            weights[x, y] = 1 + m[-1][-1]
-        return weights[x, y]
-
     found: dict[int, int] = {}
-
-    def trace(x: int, y: int) -> None:
+    if la[0] != lb[0]:
+        return found
+    todo = [(0, 0)]
+    while todo:
+        x, y = todo[-1]
+        xs, ys = ca[x], cb[y]
+        first = [] if (x, y) in weights else [(p, q) for p in xs for q in ys if la[p] == lb[q] and (p, q) not in weights]
+        if first:
+            todo += first
+            continue
+        todo.pop()
+        if (x, y) in weights:
+            continue
+        m = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
+        for i, p in enumerate(xs, 1):
+            for j, q in enumerate(ys, 1):
+                m[i][j] = max(m[i - 1][j], m[i][j - 1], m[i - 1][j - 1] + weights.get((p, q), 0))
+        tables[x, y] = m
+        weights[x, y] = 1 + m[-1][-1]
+
+    todo = [(0, 0)]
+    while todo:
+        x, y = todo.pop()
         found[x] = y
         m, xs, ys = tables[x, y], ca[x], cb[y]
         i, j = len(xs), len(ys)
         while i and j:
-            w = weigh(xs[i - 1], ys[j - 1])
+            w = weights.get((xs[i - 1], ys[j - 1]), 0)
             if w and m[i][j] == m[i - 1][j - 1] + w:
-                trace(xs[i - 1], ys[j - 1])
+                todo.append((xs[i - 1], ys[j - 1]))
                 i, j = i - 1, j - 1
             elif m[i][j] == m[i - 1][j]:
                 i -= 1
             else:
                 j -= 1
-
-    if weigh(0, 0):
-        trace(0, 0)
     return found
 
 
@@ -342,12 +345,13 @@ def _matched(rows: DataFrame) -> DataFrame:
 
 
 def induce(pages: DataFrame, least_pages: int = LEAST_PAGES, constant: float = CONSTANT) -> DataFrame:
-    """(t_host, ref_skeleton, constant array<int>): the template of every host, from all of its pages."""
+    """(t_host, ref_skeleton, constant array<int>): the template of every host, from all of its distinct pages."""
     keyed = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("page_id", "url").alias("rank"), "html")
     rows = common.written(_skeletons(keyed), "skeletons")
     reference = rows.groupBy("host").agg(F.min_by(F.struct("skeleton", "hashes"), F.struct("rank", "skeleton")).alias("r")).select(F.col("host").alias("r_host"), F.col("r.skeleton").alias("ref_skeleton"), F.col("r.hashes").alias("ref_hashes"))
     reference = common.written(reference, "references")
-    joined = rows.join(reference, F.col("host") == F.col("r_host")).select("host", "skeleton", "hashes", "ref_skeleton", "ref_hashes")
+    distinct = rows.dropDuplicates(["host", "skeleton", "hashes"])  # copies of one page count once
+    joined = distinct.join(reference, F.col("host") == F.col("r_host")).select("host", "skeleton", "hashes", "ref_skeleton", "ref_hashes")
     counts = _matched(joined).groupBy("host", "node").agg(F.sum("seen").alias("seen"), F.sum("equal").alias("equal"))
     fixed = counts.where((F.col("seen") >= least_pages) & (F.col("equal") >= constant * F.col("seen"))).groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("constant"))
     return reference.join(fixed, F.col("r_host") == F.col("host"), "left").select(F.col("r_host").alias("t_host"), "ref_skeleton", F.coalesce("constant", F.array().cast("array<int>")).alias("constant"))
