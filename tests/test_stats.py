@@ -88,8 +88,8 @@ def test_clustered_ols_against_dense_algebra(spark):
 
 def test_one_sample(spark):
     v = [0.3, -0.1, 0.5, 0.2, 0.9, 0.05, None]
-    t = ranks.one_sample(spark.createDataFrame([(x,) for x in v], "v double"), "v")
+    t = ranks.one_sample(spark.createDataFrame([(1, x) for x in v], "g int, v double"), ["g"], "v").first()
     x = np.array(v[:-1])
     assert t["n"] == 6 and t["p_sign"] == pytest.approx(14 / 64) and t["p_wilcoxon"] == pytest.approx(6 / 64)
     assert t["p_ttest"] == pytest.approx(tails.t_two_sided(x.mean() / (x.std(ddof=1) / math.sqrt(6)), 5))
-    assert ranks.one_sample(spark.createDataFrame([(1.0,)], "v double"), "v")["p_ttest"] is None
+    assert ranks.one_sample(spark.createDataFrame([(1, 1.0)], "g int, v double"), ["g"], "v").first()["p_ttest"] is None

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import tails
+from tidemark.functions import resample, tails
 
 #: Buckets that values are cut into, so that ranking them needs no single task.
 BUCKETS = 64
@@ -116,26 +118,63 @@ def signed_ranks(values: DataFrame, column: str) -> DataFrame:
     return signs.join(ranks, F.col("a") == F.col("value")).agg(F.sum(F.col("up") * F.col("mid_rank")).alias("w_plus"), F.sum("ties").alias("n"), F.sum(t * t * t - t).alias("tie_term"))
 
 
-def wilcoxon_p(w_plus: float | None, n: int | None, tie_term: float | None) -> float | None:
-    """Two-sided: exact for up to 50 values without ties, else the normal approximation without continuity correction."""
+def wilcoxon_p(w_plus: float | None, n: int | None, tie_term: float | None, zeros: int = 0) -> float | None:
+    """Two-sided: exact for up to 50 values without ties or zeros, else the normal approximation without continuity correction."""
     if not n:
         return None
-    if n <= 50 and not tie_term:
+    if n <= 50 and not tie_term and not zeros:
         return tails.wilcoxon_exact(w_plus, n)
     sd = math.sqrt(n * (n + 1) * (2 * n + 1) / 24 - tie_term / 48)
     return min(1.0, 2 * tails.normal_sf(abs(w_plus - n * (n + 1) / 4) / sd)) if sd else None
 
 
-def one_sample(values: DataFrame, column: str) -> dict[str, float | None]:
-    """Location of one sample against zero: t, Wilcoxon and sign tests; nulls below three values."""
-    v = F.col(column)
-    r = values.where(v.isNotNull()).agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.stddev_samp(v).alias("sd"), F.count_if(v > 0).alias("up"), F.count_if(v < 0).alias("down")).first()
-    out = {"n": r.n, "mean": r.mean, "median": r.median, "sd": r.sd, "n_positive": r.up, "share_positive": r.up / r.n if r.n else None, "p_ttest": None, "p_wilcoxon": None, "p_sign": None}
-    if r.n < 3:
-        return out
-    if r.sd:
-        out["p_ttest"] = tails.t_two_sided(r.mean / (r.sd / math.sqrt(r.n)), r.n - 1)
-    w = signed_ranks(values, column).first()
-    out["p_wilcoxon"] = wilcoxon_p(w.w_plus, w.n, w.tie_term)
-    out["p_sign"] = tails.binomial_two_sided(r.up, r.n)
-    return out
+def sample_moments(values: DataFrame, by: list[str], column: str) -> DataFrame:
+    """``by`` and what tests of location need: describe(), the signs, and signed-rank sums, for all cells in one plan.
+
+    Equal sizes are counted before they are ranked, so a cell's window holds its distinct sizes.
+    """
+    rows = values.where(F.col(column).isNotNull()).select(*by, F.col(column).cast("double").alias("v__"))
+    moments = rows.groupBy(*by).agg(
+        F.count("*").alias("n"), F.avg("v__").alias("mean"), F.median("v__").alias("median"), F.stddev_samp("v__").alias("sd"),
+        F.percentile("v__", 0.25).alias("q25"), F.percentile("v__", 0.75).alias("q75"), F.count_if(F.col("v__") > 0).alias("n_positive"), F.count_if(F.col("v__") == 0).alias("zeros__"),
+    )
+    sizes = rows.where("v__ <> 0").groupBy(*by, F.abs("v__").alias("a__")).agg(F.count("*").alias("ties__"), F.count_if(F.col("v__") > 0).alias("up__"))
+    t = F.col("ties__").cast("double")
+    sizes = sizes.withColumn("mid__", F.sum("ties__").over(Window.partitionBy(*by).orderBy("a__")) - (t - 1) / 2)
+    ranked = sizes.groupBy(*by).agg(F.sum(F.col("up__") * F.col("mid__")).alias("w_plus__"), F.sum("ties__").alias("m__"), F.sum(t * t * t - t).alias("tie__"))
+    on = [F.col(c).eqNullSafe(F.col(f"{c}__r")) for c in by]
+    return moments.join(ranked.withColumnsRenamed({c: f"{c}__r" for c in by}), on, "left").drop(*(f"{c}__r" for c in by))
+
+
+#: What one_sample() adds to a cell's moments.
+TESTS = ("t_stat", "p_ttest", "p_wilcoxon", "p_sign")
+
+
+def _tests(n: int, mean: float, sd: float | None, up: int, zeros: int, w_plus: float | None, m: int | None, tie: float | None) -> tuple[float | None, ...]:
+    if n < 3:
+        return None, None, None, None
+    t = mean / (sd / math.sqrt(n)) if sd else None
+    return t, None if t is None else tails.t_two_sided(t, n - 1), wilcoxon_p(w_plus, m, tie, zeros), tails.binomial_two_sided(up, n)
+
+
+def one_sample(values: DataFrame, by: list[str], column: str, block: str | None = None, iters: int = 0, seed: int = 0, alpha: float = 0.05) -> DataFrame:
+    """Location against zero of every cell: describe(), n_positive, t, Wilcoxon and sign tests, nulls below three values;
+    with ``block``, the mean's blocked and naive intervals too. Tails are made on the executors, a row a cell."""
+    cells = sample_moments(values, by, column)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            made = [_tests(int(n), mean, None if pd.isna(sd) else sd, int(up), int(z), *(None if pd.isna(x) else x for x in (w, m, tie))) for n, mean, sd, up, z, w, m, tie in zip(*(pdf[c] for c in ("n", "mean", "sd", "n_positive", "zeros__", "w_plus__", "m__", "tie__")), strict=True)]
+            yield pdf.drop(columns=["zeros__", "w_plus__", "m__", "tie__"]).assign(**{c: pd.Series([x[k] for x in made], index=pdf.index, dtype=float) for k, c in enumerate(TESTS)})
+
+    kinds = dict(cells.dtypes)
+    stats = ("n", "mean", "median", "sd", "q25", "q75", "n_positive")
+    found = cells.mapInPandas(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in (*by, *stats)), *(f"{c} double" for c in TESTS)]))
+    present = [F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("sd", *TESTS)]
+    names = {"sd": present[0], **dict(zip(TESTS, present[1:], strict=True))}
+    found = found.select(*[names.get(c, F.col(c)) for c in found.columns], F.try_divide("n_positive", "n").alias("share_positive"))
+    if block is None:
+        return found
+    ci = resample.intervals(values, by, column, block, iters, seed, "mean", alpha)
+    ci = ci.withColumnsRenamed({c: f"{c}__c" for c in by})
+    return found.join(ci, [F.col(c).eqNullSafe(F.col(f"{c}__c")) for c in by], "left").drop(*(f"{c}__c" for c in by))

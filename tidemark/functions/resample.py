@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 STATS: dict[str, Callable] = {"median": np.median, "mean": np.mean}
 
+#: Values drawn at one time, so that a large group's resamples are never held all at once.
+DRAWN = 1 << 21
+
 
 def _stat(stat: str | Callable) -> Callable:
     return STATS[stat] if isinstance(stat, str) else stat
@@ -23,8 +26,8 @@ def bootstrap(values: np.ndarray, iters: int, seed: int, stat: str | Callable =
     """Percentile interval from samples of single values; none below three."""
     if len(values) < 3:
         return None, None
-    draws = values[np.random.default_rng(seed).integers(0, len(values), (iters, len(values)))]
-    found = _stat(stat)(draws, axis=1)
+    rng, of, step = np.random.default_rng(seed), _stat(stat), max(1, DRAWN // len(values))
+    found = np.concatenate([of(values[rng.integers(0, len(values), (min(step, iters - i), len(values)))], axis=1) for i in range(0, iters, step)])
     low, high = np.percentile(found, [100 * alpha / 2, 100 * (1 - alpha / 2)])
     return float(low), float(high)
 
@@ -66,13 +69,16 @@ def intervals(rows: DataFrame, by: list[str], column: str, block: str, iters: in
 
 
 def median_spread(values: np.ndarray, code: np.ndarray, k: int) -> float:
-    """Population standard deviation of the group medians."""
-    return float(np.std([np.median(values[code == g]) for g in range(k)]))
+    """The greatest of the group medians less the least."""
+    return float(np.ptp([np.median(values[code == g]) for g in range(k)]))
 
 
 def permutation_test(rows: DataFrame, group: str, column: str, stratum: str, iters: int, seed: int, min_n: int = 10) -> DataFrame:
-    """One row: the spread of group medians, and how often labels shuffled within strata give one as large."""
-    kept = rows.where(F.col(column).isNotNull()).select(F.col(group).alias("g"), F.col(column).cast("double").alias("v"), F.col(stratum).alias("s"))
+    """One row: the spread of group medians, and how often labels shuffled within strata give one as large.
+
+    Observed and p are null where fewer than two groups have ``min_n`` values; without any value there is no row.
+    """
+    kept = rows.where(F.col(column).isNotNull() & F.col(group).isNotNull() & F.col(stratum).isNotNull()).select(F.col(group).alias("g"), F.col(column).cast("double").alias("v"), F.col(stratum).alias("s"))
     big = kept.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") >= min_n).select(F.col("g").alias("g2"))
     kept = kept.join(F.broadcast(big), F.col("g") == F.col("g2"), "left_semi")
 
@@ -80,6 +86,8 @@ def permutation_test(rows: DataFrame, group: str, column: str, stratum: str, ite
         pdf = pdf.sort_values(["s", "g", "v"])
         labels, code = np.unique(pdf["g"].astype(str).to_numpy(), return_inverse=True)
         v = pdf["v"].to_numpy()
+        if len(labels) < 2:
+            return pd.DataFrame({"observed": [None], "p": [None], "n": [len(v)], "k": [len(labels)]}).astype({"observed": float, "p": float})
         strata = [np.flatnonzero((pdf["s"] == s).to_numpy()) for s in sorted(pdf["s"].unique())]
         observed, rng, at_least = median_spread(v, code, len(labels)), np.random.default_rng(seed), 0
         for _ in range(iters):
@@ -89,4 +97,5 @@ def permutation_test(rows: DataFrame, group: str, column: str, stratum: str, ite
             at_least += median_spread(v, mixed, len(labels)) >= observed
         return pd.DataFrame({"observed": [observed], "p": [(at_least + 1) / (iters + 1)], "n": [len(v)], "k": [len(labels)]})
 
-    return kept.groupBy(F.lit(1).alias("one")).applyInPandas(run, "observed double, p double, n long, k long")
+    found = kept.groupBy(F.lit(1).alias("one")).applyInPandas(run, "observed double, p double, n long, k long")
+    return found.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("observed", "p")], "n", "k")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, TimestampNTZType
 
 from tidemark.config import StudyConfig
 
@@ -13,26 +17,27 @@ _ORDER = ("effective_ts", "event_ts", "NEWSID")
 def anchor_clusters(rows: DataFrame, hours: int, into: str = "cluster_id") -> DataFrame:
     """Clusters of one symbol and subject: a filing more than ``hours`` after its cluster's first opens the next.
 
-    A gap of more than ``hours`` always opens one, so filings are first cut into runs at such gaps by a window; the anchor rule
-    is then folded over one run at a time, and no array holds more than a run.
+    The rule is a fold along time, so rows are sorted by symbol, subject and time within partitions and pass one by one; a task
+    holds one batch and the anchor that is open, however long a run of filings is.
     """
-    span = F.make_dt_interval(hours=F.lit(hours))
-    w = Window.partitionBy("symbol", "subject").orderBy(*_ORDER)
-    gap = F.coalesce(F.col("effective_ts") - F.lag("effective_ts").over(w) > span, F.lit(True))
-    runs = rows.withColumn("run__", F.sum(gap.cast("int")).over(w))
-    member = F.struct(*_ORDER)
-    runs = runs.groupBy("symbol", "subject", "run__").agg(F.array_sort(F.collect_list(member)).alias("m"))
-    kind = dict(rows.dtypes)["NEWSID"]
-    empty = F.array().cast(f"array<struct<NEWSID:{kind},anchor:timestamp_ntz>>")
-
-    def step(done: Column, x: Column) -> Column:
-        last = F.get(done, F.size(done) - 1)["anchor"]
-        anchor = F.when(last.isNull() | (x["effective_ts"] - last > span), x["effective_ts"]).otherwise(last)
-        return F.concat(done, F.array(F.struct(x["NEWSID"].alias("NEWSID"), anchor.alias("anchor"))))
-
-    folded = runs.select("symbol", "subject", F.explode(F.aggregate("m", empty, step)).alias("a"))
-    ids = folded.select(F.col("a.NEWSID").alias("n__"), F.concat_ws("|", "symbol", "subject", F.date_format("a.anchor", "yyyy-MM-dd HH:mm:ss")).alias(into))
-    return rows.join(ids, F.col("NEWSID") == F.col("n__")).drop("n__")
+    span = hours * 3_600_000_000
+    sorted_rows = rows.repartition("symbol", "subject").sortWithinPartitions("symbol", "subject", *_ORDER)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, anchor = None, 0
+        for batch in batches:
+            columns = {f.name: k for k, f in enumerate(batch.schema)}
+            who = zip(batch.column(columns["symbol"]).to_pylist(), batch.column(columns["subject"]).to_pylist(), strict=True)
+            at = batch.column(columns["effective_ts"]).cast(pa.int64()).to_pylist()
+            anchors = []
+            for k, t in zip(who, at, strict=True):
+                if k != key or t - anchor > span:
+                    key, anchor = k, t
+                anchors.append(anchor)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(anchors, pa.timestamp("us"))], names=[*batch.schema.names, "anchor__"])
+
+    folded = sorted_rows.mapInArrow(run, StructType([*sorted_rows.schema.fields, StructField("anchor__", TimestampNTZType())]))
+    return folded.withColumn(into, F.concat_ws("|", "symbol", "subject", F.date_format("anchor__", "yyyy-MM-dd HH:mm:ss"))).drop("anchor__")
 
 
 def merge_fiscal(rows: DataFrame) -> DataFrame:

@@ -49,19 +49,26 @@ def raw_returns(points: DataFrame, bars: DataFrame, sess: DataFrame, cfg: StudyC
 
 
 def with_peers(events: DataFrame, bars: DataFrame, sess: DataFrame, cfg: StudyConfig) -> DataFrame:
-    """(cluster_id, returns, peer_ and adj_ returns): the basket is the mean over the other symbols that have a value."""
-    symbols = sess.select(F.col("symbol").alias("other")).distinct()
-    listed = symbols.agg(F.collect_set("other").alias("others"))  # one row: the study's symbols
-    points = events.select("cluster_id", F.col("symbol").alias("own"), "event_ts").join(F.broadcast(listed), F.lit(True)).select(F.struct("cluster_id", "own").alias("key"), F.explode("others").alias("symbol"), "event_ts")
-    found = raw_returns(points, bars, sess, cfg)
+    """(cluster_id, returns, peer_ and adj_ returns): the basket is the mean over the other symbols that have a value.
+
+    Symbols are aligned once for each distinct time, and a time's returns are summed once: an event's basket is that sum less
+    its own return, so events that share a time share the work and no event meets its peers one by one.
+    """
+    listed = sess.agg(F.collect_set("symbol").alias("all"))  # one row: the study's symbols
+    times = events.select("event_ts").distinct().join(F.broadcast(listed), F.lit(True))
+    points = times.select(F.col("event_ts").alias("key"), F.explode("all").alias("symbol"), "event_ts")
+    found = scratch.written(raw_returns(points, bars, sess, cfg), "returns")  # the sums and the events' own
     names = return_names(cfg)
-    is_own = F.col("symbol") == F.col("key.own")
-    rows = found.groupBy("key").agg(
-        *[F.max(F.when(is_own, F.col(n))).alias(n) for n in names],
-        *[F.avg(F.when(~is_own, F.col(n))).alias(f"peer_{n}") for n in names],
-        F.max(is_own).alias("has_own"),
-    )
-    return rows.where("has_own").select(F.col("key.cluster_id").alias("cluster_id"), *names, *[f"peer_{n}" for n in names], *[(F.col(n) - F.col(f"peer_{n}")).alias(f"adj_{n}") for n in names])
+    sums = found.groupBy(F.col("key").alias("at")).agg(*[f(n).alias(f"{f.__name__}_{n}") for n in names for f in (F.sum, F.count)])
+    own = events.select("cluster_id", F.col("symbol").alias("own"), "event_ts").join(found, (F.col("own") == F.col("symbol")) & (F.col("event_ts") == F.col("key")))
+    rows = own.join(sums, F.col("event_ts") == F.col("at"))
+
+    def peer(n: str) -> Column:
+        others = F.col(f"count_{n}") - F.col(n).isNotNull().cast("long")
+        return F.when(others > 0, (F.col(f"sum_{n}") - F.coalesce(n, F.lit(0.0))) / others)
+
+    rows = rows.withColumns({f"peer_{n}": peer(n) for n in names})
+    return rows.select("cluster_id", *names, *[f"peer_{n}" for n in names], *[(F.col(n) - F.col(f"peer_{n}")).alias(f"adj_{n}") for n in names])
 
 
 def window_measures(events: DataFrame, bars: DataFrame, cfg: StudyConfig) -> DataFrame:

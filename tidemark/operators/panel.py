@@ -43,13 +43,29 @@ def eligible_sessions(grid: DataFrame, events: DataFrame, radius: int, longest:
     return known.join(placed, (F.col("symbol") == F.col("es")) & (F.col("pos") == F.col("bp")), "left_anti").select("symbol", "pos")
 
 
-def clean_peers(grid: DataFrame, events: DataFrame, lookback: int, horizons: tuple[int, ...]) -> DataFrame:
-    """(cluster_id, symbol, p, k, peer): peers without an event of their own from ``lookback`` sessions before to k after."""
+def placed_events(grid: DataFrame, events: DataFrame) -> DataFrame:
+    """(cluster_id, symbol, p): events that have a session before theirs."""
+    dates = grid.select("session_date", "pos").distinct()
+    return events.select("cluster_id", "symbol", "D0").join(dates, F.col("D0") == F.col("session_date")).select("cluster_id", "symbol", F.col("pos").alias("p")).where("p >= 1")
+
+
+def busy_peers(grid: DataFrame, events: DataFrame, lookback: int, horizons: tuple[int, ...]) -> DataFrame:
+    """(cluster_id, symbol, p, k, peer): other symbols with an event of their own from ``lookback`` sessions before to k after.
+
+    Events meet by place, so the rows are as many as events have neighbours.
+    """
+    placed = placed_events(grid, events)
     dates = grid.select("session_date", "pos").distinct()
-    placed = events.select("cluster_id", "symbol", "D0").join(dates, F.col("D0") == F.col("session_date")).select("cluster_id", "symbol", F.col("pos").alias("p")).where("p >= 1")
+    all_placed = events.select("symbol", "D0").join(dates, F.col("D0") == F.col("session_date"))
+    own = all_placed.select(F.col("symbol").alias("peer"), F.col("pos").alias("op")).distinct()
+    own = own.select("peer", "op", F.explode(F.sequence(F.col("op") - max(horizons), F.col("op") + lookback)).alias("seen"))
+    near = placed.join(own, (F.col("p") == F.col("seen")) & (F.col("symbol") != F.col("peer"))).withColumn("k", F.explode(F.array(*map(F.lit, (0, *horizons)))))
+    return near.where(F.col("op").between(F.col("p") - lookback, F.col("p") + F.col("k"))).select("cluster_id", "symbol", "p", "k", "peer").distinct()
+
+
+def clean_peers(grid: DataFrame, events: DataFrame, lookback: int, horizons: tuple[int, ...]) -> DataFrame:
+    """(cluster_id, symbol, p, k, peer): peers without an event of their own nearby, listed; baskets are made without this list."""
     symbols = grid.agg(F.collect_set("symbol").alias("all"))
-    ks = F.array(*map(F.lit, (0, *horizons)))
-    rows = placed.join(F.broadcast(symbols), F.lit(True)).select("cluster_id", "symbol", "p", F.explode("all").alias("peer")).where("peer <> symbol").withColumn("k", F.explode(ks))
-    own = placed.select(F.col("symbol").alias("os"), F.explode(F.sequence(F.col("p") - max(horizons), F.col("p") + lookback)).alias("seen"), F.col("p").alias("op")).distinct()
-    near = (F.col("peer") == F.col("os")) & (F.col("p") == F.col("seen")) & F.col("op").between(F.col("p") - lookback, F.col("p") + F.col("k"))
-    return rows.join(own, near, "left_anti")
+    rows = placed_events(grid, events).join(F.broadcast(symbols), F.lit(True)).select("cluster_id", "symbol", "p", F.explode("all").alias("peer")).where("peer <> symbol")
+    rows = rows.withColumn("k", F.explode(F.array(*map(F.lit, (0, *horizons)))))
+    return rows.join(busy_peers(grid, events, lookback, horizons), ["cluster_id", "symbol", "p", "k", "peer"], "left_anti")

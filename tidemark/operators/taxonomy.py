@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,8 +107,33 @@ def filing_text() -> Column:
     return F.regexp_replace(F.concat(F.coalesce("NEWSSUB", F.lit("")), F.lit(" || "), F.coalesce("HEADLINE", F.lit(""))), r"(?U)\s+", " ")
 
 
-def _first_rule(text: Column, rules: list[tuple[str, str]]) -> Column:
-    return F.coalesce(*[F.when(text.rlike(f"(?iu){pattern}"), F.lit(subject)) for subject, pattern in rules])
+#: Characters that ignoring case takes for i, s and k, though lower case does not make them so.
+_CASE_TWINS = ("\u0130\u0131\u017f\u212a", "iisk")
+
+
+def lowered(text: Column) -> Column:
+    """Lower case as rules that ignore case see it."""
+    return F.lower(F.translate(text, *_CASE_TWINS))
+
+
+def _needed_words(pattern: str) -> list[str]:
+    """For each alternative of a rule, the longest word that any match of it contains."""
+    words = []
+    for part in re.sub(r"\([^()]*\)\??|\(\?:[^()]*\)\??", "\x00", pattern.replace(r"\b", "").replace(r"\(", "\x00").replace(r"\)", "\x00")).split("|"):
+        plain = re.sub(r"\\?.\?", "\x00", part)
+        words.append(max(re.findall("[a-z0-9]+", plain), key=len))
+    return words
+
+
+def _first_rule(text: Column, rules: list[tuple[str, str]], worth: Column | None = None) -> Column:
+    """The subject of the first rule that matches the lower-cased text; a rule runs only where ``worth``, text that may not
+    have its white space collapsed yet, holds one of the words that its alternatives need."""
+    worth = text if worth is None else worth
+
+    def needed(pattern: str) -> Column:
+        return reduce(or_, [worth.contains(w) for w in dict.fromkeys(_needed_words(pattern))])
+
+    return F.coalesce(*[F.when(needed(pattern), F.when(text.rlike(f"(?U){pattern}"), F.lit(subject))) for subject, pattern in rules])
 
 
 def fiscal_period(text: Column) -> Column:
@@ -124,8 +153,9 @@ def classify(announcements: DataFrame) -> DataFrame:
     priority = {s: k for k, s in enumerate(SUBJECTS, 1)}
     rows = announcements.join(F.broadcast(subcategory_table(spark).withColumnRenamed("subject", "mapped__")), F.col("SUBCATNAME") == F.col("subcategory"), "left").drop("subcategory")
     rows = rows.withColumn("text__", filing_text())
-    inside = _first_rule(F.col("text__"), [r for r in KEYWORDS if priority[r[0]] <= LEAST_SUBSTANTIVE])
-    word = _first_rule(F.col("text__"), list(KEYWORDS))
+    rows = rows.withColumn("lower__", lowered(F.col("text__")))
+    inside = _first_rule(F.col("lower__"), [r for r in KEYWORDS if priority[r[0]] <= LEAST_SUBSTANTIVE])
+    word = _first_rule(F.col("lower__"), list(KEYWORDS))
     rows = rows.withColumns({"inside__": F.when(F.col("mapped__") == CONTAINER, inside), "word__": F.when(F.col("mapped__").isNull(), word)})
     rows = rows.withColumn("subject", F.coalesce("inside__", "mapped__", "word__", F.lit(SUBJECTS[-1])))
     rule = (
@@ -140,4 +170,4 @@ def classify(announcements: DataFrame) -> DataFrame:
             "is_companion": F.col("subject").isin(*COMPANIONS),
             "fiscal_period": F.when(F.col("subject") == SUBJECTS[0], fiscal_period(F.col("text__"))),
         }
-    ).drop("mapped__", "text__", "inside__", "word__")
+    ).drop("mapped__", "text__", "lower__", "inside__", "word__")

@@ -55,36 +55,50 @@ def placebo_null(grid: DataFrame, pead: DataFrame, cfg: StudyConfig) -> DataFram
 
 
 def clean_peer_events(grid: DataFrame, pead: DataFrame, cfg: StudyConfig) -> DataFrame:
-    """Each event's drift against clean peers: the first move's basket is clean up to D0, each drift's up to its horizon."""
+    """Each event's drift against clean peers: the first move's basket is clean up to D0, each drift's up to its horizon.
+
+    A basket is the sum over all symbols of a session less the event's own symbol and the symbols with events nearby, so no
+    event meets all symbols. A peer without a value counts as a peer but adds nothing; an event without any clean peer at D0
+    has a count of 0 there and no others.
+    """
     hs = cfg.horizons
     w = Window.partitionBy("symbol").orderBy("pos")
     fwd = panels.forward_returns(grid, hs).withColumn("fwd_0", F.try_divide(F.col("close"), F.lag("close").over(w)) - 1)
     values = fwd.select(F.col("symbol").alias("vs"), F.col("pos").alias("vp"), F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"fwd_{k}").alias("v")) for k in (0, *hs)])).alias("x")).select("vs", "vp", F.col("x.k").alias("vk"), F.col("x.v").alias("v"))
-    peers = panels.clean_peers(grid, pead, cfg.peer_lookback, hs)
-    basket = peers.join(values, (F.col("peer") == F.col("vs")) & (F.col("p") == F.col("vp")) & (F.col("k") == F.col("vk")), "left")
-    basket = basket.groupBy("cluster_id", "symbol", "p", "k").agg(F.avg("v").alias("basket"), F.count("*").alias("n_peers"))
-    own = basket.join(values, (F.col("symbol") == F.col("vs")) & (F.col("p") == F.col("vp")) & (F.col("k") == F.col("vk"))).withColumn("d", F.col("v") - F.col("basket"))
-    out = own.groupBy("cluster_id", "symbol", "p").agg(
+    totals = values.groupBy(F.col("vp").alias("tp"), F.col("vk").alias("tk")).agg(F.count("*").alias("t_peers"), F.count("v").alias("t_n"), F.sum("v").alias("t_sum"))
+    placed = panels.placed_events(grid, pead).withColumn("k", F.explode(F.array(*map(F.lit, (0, *hs)))))
+    near = panels.busy_peers(grid, pead, cfg.peer_lookback, hs)
+    at = (F.col("p") == F.col("vp")) & (F.col("k") == F.col("vk"))
+    busy = near.join(values, (F.col("peer") == F.col("vs")) & at).groupBy("cluster_id", "symbol", "p", "k").agg(F.count("*").alias("b_peers"), F.count("v").alias("b_n"), F.sum("v").alias("b_sum"))
+    own = placed.join(values, (F.col("symbol") == F.col("vs")) & at).select("cluster_id", "symbol", "p", "k", "v")
+    rows = own.join(totals, (F.col("p") == F.col("tp")) & (F.col("k") == F.col("tk"))).join(busy, ["cluster_id", "symbol", "p", "k"], "left")
+
+    def zero(c: str):
+        return F.coalesce(c, F.lit(0))
+
+    left = F.col("t_n") - zero("b_n") - F.col("v").isNotNull().cast("long")
+    basket = F.when(left > 0, (F.col("t_sum") - zero("b_sum") - zero("v")) / left)
+    rows = rows.select("cluster_id", "symbol", "p", "k", (F.col("t_peers") - 1 - zero("b_peers")).alias("n_peers"), (F.col("v") - basket).alias("d"))
+    out = rows.groupBy("cluster_id", "symbol", "p").agg(
         F.max(F.when(F.col("k") == 0, F.col("d"))).alias("R0_clean"), F.max(F.when(F.col("k") == 0, F.col("n_peers"))).alias("n_clean_peers"),
-        *[F.max(F.when(F.col("k") == k, F.col("d"))).alias(f"d_{k}") for k in hs], *[F.max(F.when(F.col("k") == k, F.col("n_peers"))).alias(f"n_clean_peers_{k}d") for k in hs],
+        *[F.max(F.when(F.col("k") == k, F.col("d"))).alias(f"d_{k}") for k in hs], *[F.max(F.when(F.col("k") == k, F.col("n_peers"))).alias(f"n_{k}") for k in hs],
     )
     dates = grid.select(F.col("pos").alias("gp"), F.col("session_date").alias("D0")).distinct()
     out = out.join(dates, F.col("p") == F.col("gp"))
-    sign = F.signum("R0_clean")
-    return out.select("cluster_id", "symbol", "D0", "R0_clean", "n_clean_peers", *[f"n_clean_peers_{k}d" for k in hs], *[(sign * F.col(f"d_{k}")).alias(f"signed_clean_drift_{k}d") for k in hs])
+    sign, some = F.signum("R0_clean"), F.col("n_clean_peers") > 0
+    return out.select("cluster_id", "symbol", "D0", "R0_clean", "n_clean_peers", *[F.when(some, F.col(f"n_{k}")).alias(f"n_clean_peers_{k}d") for k in hs], *[(sign * F.col(f"d_{k}")).alias(f"signed_clean_drift_{k}d") for k in hs])
 
 
 def clean_peer_drift(grid: DataFrame, pead: DataFrame, cfg: StudyConfig) -> DataFrame:
-    """Drift against clean peers by horizon; a row a horizon, made from aggregates."""
-    spark = pead.sparkSession
-    rows = clean_peer_events(grid, pead, cfg).withColumn("block_m", resample.block_label(20)).persist()
-    total, out = pead.count(), []
-    for k in cfg.horizons:
-        c = f"signed_clean_drift_{k}d"
-        t = ranks.one_sample(rows, c)
-        ci = resample.intervals(rows.withColumn("all", F.lit(1)), ["all"], c, "block_m", cfg.bootstrap_iters, cfg.seed, "mean").first()
-        low, high = (ci.ci_low, ci.ci_high) if ci else (None, None)
-        med = rows.agg(F.median(f"n_clean_peers_{k}d")).first()[0]
-        out.append((k, t["n"], t["mean"], t["median"], t["share_positive"], low, high, t["p_wilcoxon"], bool(low is not None and (low > 0 or high < 0)), med, total - t["n"]))
-    rows.unpersist()
-    return spark.createDataFrame(out, "horizon_sessions int, n_events long, mean_drift double, median_drift double, continuation_rate double, ci_low_blocked double, ci_high_blocked double, p_wilcoxon double, significant_blocked boolean, median_clean_peers double, events_dropped_no_clean_peer long")
+    """Drift against clean peers, a row a horizon, all horizons in one plan."""
+    rows = clean_peer_events(grid, pead, cfg).withColumn("block_m", resample.block_label(20))
+    cells = F.array(*[F.struct(F.lit(k).alias("h"), F.col(f"signed_clean_drift_{k}d").alias("v"), F.col(f"n_clean_peers_{k}d").alias("n")) for k in cfg.horizons])
+    long = rows.select("block_m", F.explode(cells).alias("c")).select(F.col("c.h").alias("horizon_sessions"), F.col("c.v").alias("v"), F.col("c.n").alias("peers"), "block_m")
+    tests = ranks.one_sample(long, ["horizon_sessions"], "v", "block_m", cfg.bootstrap_iters, cfg.seed, cfg.alpha)
+    total = pead.agg(F.count("*").alias("total"))
+    counts = long.groupBy("horizon_sessions").agg(F.median("peers").alias("median_clean_peers")).join(F.broadcast(total), F.lit(True))
+    low, high = F.col("ci_low"), F.col("ci_high")
+    return counts.join(tests, "horizon_sessions", "left").select(
+        "horizon_sessions", F.coalesce("n", F.lit(0)).cast("long").alias("n_events"), F.col("mean").alias("mean_drift"), F.col("median").alias("median_drift"), F.col("share_positive").alias("continuation_rate"),
+        low.alias("ci_low_blocked"), high.alias("ci_high_blocked"), "p_wilcoxon", F.coalesce((low > 0) | (high < 0), F.lit(False)).alias("significant_blocked"), "median_clean_peers", (F.col("total") - F.coalesce("n", F.lit(0))).alias("events_dropped_no_clean_peer"),
+    )

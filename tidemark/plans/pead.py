@@ -42,18 +42,14 @@ def drift_aggregates(pead: DataFrame, cfg: StudyConfig) -> DataFrame:
 
 
 def pead_summary(pead: DataFrame, cfg: StudyConfig) -> DataFrame:
-    """drift_aggregates() with intervals and tests; a few dozen rows, of which the tails are made on the driver."""
-    spark = pead.sparkSession
+    """drift_aggregates() with intervals and tests, all cells in one plan."""
     rows = long_drift(pead, cfg)
     keys = ["scope", "measure", "horizon_sessions"]
-    ci = resample.intervals(rows, keys, "drift", "block_m", cfg.bootstrap_iters, cfg.seed, "mean")
-    cells = rows.select(*keys).distinct().collect()
-    tests = []
-    for c in cells:
-        t = ranks.one_sample(rows.where((F.col("scope") == c.scope) & (F.col("measure") == c.measure) & (F.col("horizon_sessions") == c.horizon_sessions)), "drift")
-        tests.append((*c, t["p_ttest"], t["p_wilcoxon"], t["p_sign"], tails.mde(t["n"], t["sd"], cfg.alpha)))
-    tests = spark.createDataFrame(tests, "scope string, measure string, horizon_sessions int, p_ttest double, p_wilcoxon double, p_sign_vs_50pct double, min_detectable_effect double")
-    out = drift_aggregates(pead, cfg).join(ci, keys, "left").join(F.broadcast(tests), keys, "left")
+    tests = ranks.one_sample(rows, keys, "drift", "block_m", cfg.bootstrap_iters, cfg.seed, cfg.alpha)
+    z = tails.normal_quantile(1 - cfg.alpha / 2) + tails.normal_quantile(0.8)
+    detectable = F.when(F.col("n") >= 2, z * F.col("sd") / F.sqrt("n"))
+    tests = tests.select(*keys, "t_stat", "p_ttest", "p_wilcoxon", F.col("p_sign").alias("p_sign_vs_50pct"), detectable.alias("min_detectable_effect"), "ci_low", "ci_high", "ci_low_naive", "ci_high_naive")
+    out = drift_aggregates(pead, cfg).join(tests, keys, "left")
     return out.withColumn("significant_blocked", F.coalesce((F.col("ci_low") > 0) | (F.col("ci_high") < 0), F.lit(False))).orderBy("measure", "scope", "horizon_sessions")
 
 

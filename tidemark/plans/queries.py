@@ -9,6 +9,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.config import ANNOUNCEMENTS_FILE
 from tidemark.config import HOURLY as C
 from tidemark.functions import ols, ranks, resample, tails
 from tidemark.operators import align, cluster, impact, panel, quality, sessions, taxonomy
@@ -16,6 +17,7 @@ from tidemark.operators.asof import asof_join
 from tidemark.plans import drift, figures, pead, sensitivity, summary
 from tidemark.plans import oracles as o
 from tidemark.plans.study import Study
+from tidemark.sources import announcements, scratch, sinks
 from tidemark.sources import bars as bar_source
 from tidemark.sources import fixtures as fx
 
@@ -71,6 +73,30 @@ def src_bars(spark, sf_dir):
     return study(spark, sf_dir).repaired
 
 
+@query("src_bars_csv", o.with_(o.BARS) + f"select event_type symbol, date_trunc('hour', ts)::timestamp ts, round(arg_min(value, ts), 6) open, round(max(value), 6) high, round(min(value), 6) low, round(arg_max(value, ts), 6) \"close\", count(*)::double volume from events group by 1, 2")
+def src_bars_csv(spark, sf_dir):
+    """Bars written by the CSV sink, a folder a symbol, read by the CSV source and again from the cache that it fills."""
+    raw = fx.hourly_bars(spark, sf_dir).select("symbol", F.col("ts").alias("date"), *bar_source.PRICES, "volume")
+    folder = scratch.folder(spark, "csv")
+    for symbol in SYMBOLS:  # a study's symbols, a file each
+        sinks.write_csv(raw.where(F.col("symbol") == symbol).drop("symbol"), f"{folder}/{symbol}.csv")
+    bars = bar_source.read_bars(spark, folder, list(SYMBOLS), C.bar_minutes)
+    return bar_source.cached_bars(bars, f"{folder}/cache").select("symbol", "ts", *bar_source.PRICES, "volume")
+
+
+@query("src_ann_jsonl", "select event_id::varchar NEWSID, (event_id % 7)::bigint SCRIP_CD, case when event_id % 7 < 5 then ['click', 'error', 'purchase', 'signup', 'view'][(event_id % 7)::int + 1] end symbol, case event_id % 3 when 2 then 'DT_TM' else 'DissemDT' end ts_source, case event_id % 3 when 2 then date_trunc('second', ts) + interval 90 second else date_trunc('second', ts) end event_ts, event_type NEWSSUB from events where event_id % 25 = 0")
+def src_ann_jsonl(spark, sf_dir):
+    """Announcements written as JSON lines with one clock unreadable on every third, and read back."""
+    e = fx.table(spark, sf_dir, "events").where("event_id % 25 = 0")
+    stamp = F.date_format(F.date_trunc("second", "ts").cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss")
+    late = F.date_format((F.date_trunc("second", "ts") + F.expr("interval 90 seconds")).cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss")
+    lines = e.select(F.col("event_id").cast("string").alias("NEWSID"), (F.col("event_id") % 7).alias("SCRIP_CD"), F.concat(F.lit("  "), "event_type", F.lit(" ")).alias("NEWSSUB"), F.when(F.col("event_id") % 3 == 2, F.lit("unreadable")).otherwise(stamp).alias("DissemDT"), late.alias("DT_TM"))
+    path = scratch.folder(spark, "jsonl") + "/" + ANNOUNCEMENTS_FILE
+    lines.write.json(path)
+    feed = announcements.unique(announcements.read_announcements(spark, path, dict(enumerate(SYMBOLS))))
+    return feed.select("NEWSID", "SCRIP_CD", "symbol", "ts_source", "event_ts", "NEWSSUB")
+
+
 @query("src_close_grid", o.with_(o.BARS, "g as (select distinct ts from bars), s as (select distinct symbol from bars), x as (select g.ts, s.symbol, last_value(b.close ignore nulls) over (partition by s.symbol order by g.ts) c from g cross join s left join bars b on b.symbol = s.symbol and b.ts = g.ts)") + "select ts, " + ", ".join(f"round(max(case when symbol = '{s}' then c end), 6) \"{s}\"" for s in SYMBOLS) + " from x group by ts")
 def src_close_grid(spark, sf_dir):
     return bar_source.close_grid(fx.hourly_bars(spark, sf_dir), list(SYMBOLS))
@@ -284,9 +310,10 @@ def tax_classify(spark, sf_dir):
 @query("tax_documents", f"with d0 as (select source, regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g') t from documents), d as (select source, coalesce({_case(taxonomy.KEYWORDS)}, 'Other / Unclassified') subject from d0) select source, subject, count(*) n from d group by 1, 2")
 def tax_documents(spark, sf_dir):
     """The keyword rules over all documents, by source."""
-    docs = fx.table(spark, sf_dir, "documents").select("source", F.lit(None).cast("string").alias("SUBCATNAME"), F.col("text").alias("NEWSSUB"), F.lit(None).cast("string").alias("HEADLINE"))
-    rows = docs.withColumn("t", F.regexp_replace(F.coalesce("NEWSSUB", F.lit("")), r"(?U)\s+", " "))
-    return rows.select("source", F.coalesce(taxonomy._first_rule(F.col("t"), list(taxonomy.KEYWORDS)), F.lit(taxonomy.SUBJECTS[-1])).alias("subject")).groupBy("source", "subject").agg(F.count("*").alias("n"))
+    rows = fx.table(spark, sf_dir, "documents").select("source", taxonomy.lowered(F.coalesce("text", F.lit(""))).alias("t"))
+    collapsed = F.regexp_replace("t", r"(?U)\s+", " ")
+    subject = F.coalesce(taxonomy._first_rule(collapsed, list(taxonomy.KEYWORDS), F.col("t")), F.lit(taxonomy.SUBJECTS[-1]))
+    return rows.select("source", subject.alias("subject")).groupBy("source", "subject").agg(F.count("*").alias("n"))
 
 
 # ---------------------------------------------------------------- clustering
@@ -396,10 +423,16 @@ def agg_stock_summary(spark, sf_dir):
     return summary.stock_summary(study(spark, sf_dir).measured, C)
 
 
-_RB = "select '{s}' specification, subject, count(*) n, round(median(v), 6) median, round(avg(v), 6) mean from {t} group by 2"
+_RB_COLUMNS = {"abs_r": f"abs(adj_r_{M})", "r": f"adj_r_{M}", "vol": f"vol_ratio_{M}"}
+_RB = "select '{s}' specification, subject, count(*) filter (where {k})::bigint n, " + ", ".join(f"round(median({c}) filter (where {{k}}), 6) median_{'vol_ratio' if c == 'vol' else c}" for c in _RB_COLUMNS) + " from {t} group by 2"
+_RB_SRC = (
+    "v0 as (select subject, overlap_60m, " + ", ".join(f"{x} {c}" for c, x in _RB_COLUMNS.items()) + " from ms), "
+    "e as (select " + ", ".join(f"quantile_cont({c}, 0.01) {c}_lo, quantile_cont({c}, 0.99) {c}_hi" for c in _RB_COLUMNS) + " from v0), "
+    "vw as (select subject, overlap_60m, " + ", ".join(f"case when {c} is not null then greatest(least({c}, {c}_hi), {c}_lo) end {c}" for c in _RB_COLUMNS) + " from v0, e)"
+)
 
 
-@query("agg_robustness", o.with_(*o.TO_MEASURED, f"v0 as (select subject, overlap_60m, abs(adj_r_{M}) v from ms), e as (select quantile_cont(v, 0.01) lo, quantile_cont(v, 0.99) hi from v0), vw as (select subject, case when v is not null then greatest(least(v, hi), lo) end v from v0, e), vn as (select * from v0 where not overlap_60m)") + " union all ".join([_RB.format(s="all events", t="v0"), _RB.format(s="no overlap within 60m", t="vn"), _RB.format(s="winsorised 1/99", t="vw")]))
+@query("agg_robustness", o.with_(*o.TO_MEASURED, _RB_SRC) + " union all ".join(_RB.format(s=s, t=t, k=k) for s, t, k in zip(summary.SPECIFICATIONS, ("v0", "v0", "vw"), ("true", "not overlap_60m", "true"), strict=True)))
 def agg_robustness(spark, sf_dir):
     return summary.robustness(study(spark, sf_dir).measured, C)
 
@@ -474,10 +507,27 @@ def st_clustered_ols(spark, sf_dir):
     return spark.createDataFrame([(f["F"], f["df1"], f["df2"], f["p"], f["n"], f["r_squared"])], "F double, df1 long, df2 long, p double, n long, r_squared double")
 
 
+_MOMENTS = "count(v) n, round(avg(v), 6) mean, round(median(v), 6) median, round(stddev_samp(v), 6) sd, round(quantile_cont(v, 0.25), 6) q25, round(quantile_cont(v, 0.75), 6) q75, count(*) filter (where v > 0) n_positive, round(avg((v > 0)::int), 6) share_positive, round(avg(v) / (nullif(stddev_samp(v), 0) / sqrt(count(v))), 6) t_stat"
+
+
 @query("st_one_sample")
 def st_one_sample(spark, sf_dir):
-    t = ranks.one_sample(study(spark, sf_dir).measured, f"adj_r_{M}")
-    return spark.createDataFrame([tuple(t.values())], "n long, mean double, median double, sd double, n_positive long, share_positive double, p_ttest double, p_wilcoxon double, p_sign double")
+    rows = study(spark, sf_dir).measured.withColumn("block_d", resample.block_label(1))
+    return ranks.one_sample(rows, ["symbol"], f"adj_r_{M}", "block_d", C.bootstrap_iters, C.seed)
+
+
+@query("st_one_sample_moments", f"select event_type, {_MOMENTS} from (select event_type, value - 50 v from events) group by 1 having count(v) >= 3")
+def st_one_sample_moments(spark, sf_dir):
+    found = ranks.one_sample(fx.table(spark, sf_dir, "events").select("event_type", (F.col("value") - 50).alias("v")), ["event_type"], "v")
+    return found.where("n >= 3").drop("p_ttest", "p_wilcoxon", "p_sign")
+
+
+@query("st_signed_rank_cells", "with x as (select c_mktsegment, v, abs(v) a from (select c_mktsegment, round(c_acctbal / 100) - 45 v from customer)), rk as (select c_mktsegment, v, rank() over (partition by c_mktsegment order by a) + (count(*) over (partition by c_mktsegment, a) - 1) / 2.0 r from x where v <> 0), ti as (select c_mktsegment, sum(c::double * c * c - c) tie from (select c_mktsegment, a, count(*) c from x where v <> 0 group by 1, 2) group by 1), z as (select c_mktsegment, count(*) filter (where v = 0) zeros from x group by 1) select rk.c_mktsegment, round(sum(case when v > 0 then r else 0 end), 4) w_plus, count(*) n, round(any_value(tie), 4) tie_term, any_value(zeros)::bigint zeros from rk join ti on ti.c_mktsegment = rk.c_mktsegment join z on z.c_mktsegment = rk.c_mktsegment group by 1")
+def st_signed_rank_cells(spark, sf_dir):
+    """Signed-rank sums of every cell in one plan, from values with ties and zeros."""
+    rows = fx.table(spark, sf_dir, "customer").select("c_mktsegment", (F.round(F.col("c_acctbal") / 100) - 45).alias("v"))
+    cells = ranks.sample_moments(rows, ["c_mktsegment"], "v")
+    return cells.select("c_mktsegment", F.col("w_plus__").alias("w_plus"), F.col("m__").alias("n"), F.col("tie__").alias("tie_term"), F.col("zeros__").alias("zeros"))
 
 
 @query("st_signed_ranks", "with x as (select abs(v) a, v from (select c_acctbal - 4500 v from customer) where v <> 0), rk as (select v, rank() over (order by a) + (count(*) over (partition by a) - 1) / 2.0 r from x) select round(sum(case when v > 0 then r else 0 end), 4) w_plus, count(*) n, (select round(sum(c::double * c * c - c), 4) from (select a, count(*) c from x group by 1)) tie_term from rk")
@@ -551,7 +601,7 @@ def join_placebo_block(spark, sf_dir):
     return panel.eligible_sessions(s.grid, s.pead, C.exclusion_radius, max(C.horizons))
 
 
-@query("join_clean_peers", o.with_(*o.TO_MEASURED, o.PEAD, o.DENSE, "evp as (select p.cluster_id, p.symbol, d.pos p from pead p join dates d on d.session_date = p.D0 where d.pos >= 1)", "ks(k) as (values (0), " + ", ".join(f"({h})" for h in C.horizons) + ")") + f"select e.cluster_id, e.symbol, e.p, k::bigint k, s.symbol peer from evp e cross join ks cross join (select distinct symbol from sess) s where s.symbol <> e.symbol and not exists (select 1 from evp q where q.symbol = s.symbol and q.p between e.p - {C.peer_lookback} and e.p + k)")
+@query("join_clean_peers", o.with_(*o.TO_MEASURED, o.PEAD, o.DENSE, "evp as (select p.cluster_id, p.symbol, d.pos p from pead p join dates d on d.session_date = p.D0 where d.pos >= 1)", "evq as (select p.symbol, d.pos p from pead p join dates d on d.session_date = p.D0)", "ks(k) as (values (0), " + ", ".join(f"({h})" for h in C.horizons) + ")") + f"select e.cluster_id, e.symbol, e.p, k::bigint k, s.symbol peer from evp e cross join ks cross join (select distinct symbol from sess) s where s.symbol <> e.symbol and not exists (select 1 from evq q where q.symbol = s.symbol and q.p between e.p - {C.peer_lookback} and e.p + k)")
 def join_clean_peers(spark, sf_dir):
     s = study(spark, sf_dir)
     return panel.clean_peers(s.grid, s.pead, C.peer_lookback, C.horizons).select("cluster_id", "symbol", "p", "k", "peer")
@@ -563,6 +613,23 @@ def dc_placebo(spark, sf_dir):
     return drift.placebo_null(s.grid, s.pead, C)
 
 
+_KS = (0, *C.horizons)
+_CLEAN = (
+    "evp as (select p.cluster_id, p.symbol, p.D0, d.pos p from pead p join dates d on d.session_date = p.D0 where d.pos >= 1)",
+    "evq as (select p.symbol, d.pos p from pead p join dates d on d.session_date = p.D0)",
+    "fw as (select symbol, pos, close / nullif(lag(close) over w, 0) - 1 f0, " + ", ".join(f"lead(close, {k}) over w / nullif(close, 0) - 1 f{k}" for k in C.horizons) + " from dense window w as (partition by symbol order by pos))",
+    "vals as (" + " union all ".join(f"select symbol, pos, {k} k, f{k} v from fw" for k in _KS) + ")",
+    f"bk as (select e.cluster_id, e.symbol, e.D0, e.p, o.k, any_value(o.v) own, count(s.symbol) filter (where c.clean) n_peers, avg(s.v) filter (where c.clean) basket from evp e join vals o on o.symbol = e.symbol and o.pos = e.p left join vals s on s.pos = e.p and s.k = o.k and s.symbol <> e.symbol left join lateral (select not exists (select 1 from evq q where q.symbol = s.symbol and q.p between e.p - {C.peer_lookback} and e.p + o.k) clean) c on true group by 1, 2, 3, 4, 5)",
+    "wd as (select cluster_id, symbol, D0, " + ", ".join(f"max(own - basket) filter (where k = {k}) dd{k}, max(n_peers) filter (where k = {k}) n{k}" for k in _KS) + " from bk group by 1, 2, 3)",
+)
+
+
+@query("dc_clean_events", o.with_(*o.TO_MEASURED, o.PEAD, o.DENSE, *_CLEAN) + "select cluster_id, symbol, D0, round(dd0, 6) R0_clean, n0 n_clean_peers, " + ", ".join(f"case when n0 > 0 then n{k} end n_clean_peers_{k}d, round(sign(dd0) * dd{k}, 6) signed_clean_drift_{k}d" for k in C.horizons) + " from wd")
+def dc_clean_events(spark, sf_dir):
+    s = study(spark, sf_dir)
+    return drift.clean_peer_events(s.grid, s.pead, C)
+
+
 @query("dc_clean_peers")
 def dc_clean_peers(spark, sf_dir):
     s = study(spark, sf_dir)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,27 +77,43 @@ def stock_summary(events: DataFrame, cfg: StudyConfig) -> DataFrame:
     return stock_aggregates(events, cfg).join(ci, ["symbol", "subject"], "left").orderBy("symbol", F.desc("n_events"), "subject")
 
 
-def winsorised(rows: DataFrame, column: str) -> DataFrame:
-    """The column clipped to its 1st and 99th percentiles over all rows."""
-    edges = rows.agg(F.percentile(column, 0.01).alias("lo__"), F.percentile(column, 0.99).alias("hi__"))
-    return rows.join(F.broadcast(edges), F.lit(True)).withColumn(column, F.when(F.col(column).isNotNull(), F.greatest(F.least(column, "hi__"), "lo__"))).drop("lo__", "hi__")
+#: Specifications of the robustness table, in order.
+SPECIFICATIONS = ("all events", "no overlap", "winsorised 1/99")
+
+
+def specified(events: DataFrame, cfg: StudyConfig) -> DataFrame:
+    """(specification, kept, subject, abs_r, r, vol): every usable event under each specification, whether it is kept, and its
+    size, signed return and volume ratio there, winsorised to the 1st and 99th percentiles over all events where it says so."""
+    m = cfg.main
+    columns = {"abs_r": f"abs_adj_r_{m}", "r": f"adj_r_{m}", "vol": f"vol_ratio_{m}"}
+    rows = usable(events).select("subject", "overlap_60m", *[F.col(c).alias(k) for k, c in columns.items()])
+    edges = rows.agg(*[F.percentile(k, q).alias(f"{k}_{e}") for k in columns for e, q in (("lo", 0.01), ("hi", 0.99))])
+
+    def clipped(k: str) -> Column:
+        return F.when(F.col(k).isNotNull(), F.greatest(F.least(k, f"{k}_hi"), f"{k}_lo")).alias(k)
+
+    whole, clear, cut = SPECIFICATIONS
+    specs = F.array(
+        F.struct(F.lit(whole).alias("specification"), F.lit(True).alias("kept"), *columns),
+        F.struct(F.lit(clear).alias("specification"), (~F.col("overlap_60m")).alias("kept"), *columns),
+        F.struct(F.lit(cut).alias("specification"), F.lit(True).alias("kept"), *map(clipped, columns)),
+    )
+    return rows.join(F.broadcast(edges), F.lit(True)).select("subject", F.explode(specs).alias("s")).select("s.specification", "s.kept", "subject", *[f"s.{k}" for k in columns])
 
 
 def robustness(events: DataFrame, cfg: StudyConfig) -> DataFrame:
-    """Medians by subject under three specifications, in tidy columns."""
-    column = f"abs_adj_r_{cfg.main}"
-    rows = usable(events)
-    specs = {"all events": rows, "no overlap within 60m": rows.where("not overlap_60m"), "winsorised 1/99": winsorised(rows, column)}
-    out = [d.groupBy("subject").agg(F.count("*").alias("n"), F.median(column).alias("median"), F.avg(column).alias("mean")).withColumn("specification", F.lit(s)) for s, d in specs.items()]
-    return reduce(DataFrame.unionByName, out).select("specification", "subject", "n", "median", "mean")
+    """Medians of every subject under each specification, in one plan; a subject without a kept event has n = 0."""
+
+    def median(k: str) -> Column:
+        return F.median(F.when(F.col("kept"), F.col(k)))
+
+    return specified(events, cfg).groupBy("specification", "subject").agg(F.count_if("kept").alias("n"), median("abs_r").alias("median_abs_r"), median("r").alias("median_r"), median("vol").alias("median_vol_ratio"))
 
 
 def robustness_tests(events: DataFrame, cfg: StudyConfig) -> DataFrame:
     """Kruskal-Wallis under the three specifications."""
-    column = f"abs_adj_r_{cfg.main}"
-    rows = usable(events)
-    specs = {"all events": rows, "no overlap within 60m": rows.where("not overlap_60m"), "winsorised 1/99": winsorised(rows, column)}
-    found = [(s, *(t[k] for k in ("H", "p", "epsilon_sq", "n", "k"))) for s, d in specs.items() for t in [ranks.kruskal_test(d, "subject", column, cfg.min_events)]]
+    rows = specified(events, cfg).where("kept")
+    found = [(s, *(t[k] for k in ("H", "p", "epsilon_sq", "n", "k"))) for s in SPECIFICATIONS for t in [ranks.kruskal_test(rows.where(F.col("specification") == s), "subject", "abs_r", cfg.min_events)]]
     return events.sparkSession.createDataFrame(found, "specification string, H double, p double, epsilon_sq double, n long, k long")
 
 

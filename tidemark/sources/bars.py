@@ -25,9 +25,9 @@ def derive(bars: DataFrame, bar_minutes: int = 1) -> DataFrame:
 
 
 def read_raw_csv(spark: SparkSession, folder: str, symbols: list[str]) -> DataFrame:
-    """All rows of ``<SYMBOL>.csv`` as they stand, with the symbol from the file's name."""
+    """All rows of ``<SYMBOL>.csv``, a file or a folder of parts, as they stand, with the symbol from that name."""
     rows = spark.read.schema(CSV_SCHEMA).option("header", True).csv([f"{folder}/{s}.csv" for s in symbols])
-    symbol = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.csv$", 1)
+    symbol = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.csv(?:/[^/]*)?$", 1)
     return rows.select(symbol.alias("symbol"), F.col("date").alias("ts"), *map(_present, (*PRICES, "volume")), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
 
 
@@ -41,17 +41,25 @@ def read_bars(spark: SparkSession, folder: str, symbols: list[str], bar_minutes:
     return derive(first_of_each(read_raw_csv(spark, folder, symbols)), bar_minutes)
 
 
-def cached_bars(bars: DataFrame, path: str) -> DataFrame:
-    """Bars from the cache at ``path``, written first if it isn't there; partitioned so that a symbol prunes files."""
+def cached_bars(bars: DataFrame, path: str, refresh: bool = False) -> DataFrame:
+    """Bars from the cache at ``path``, written first if it isn't there or on ``refresh``; partitioned so that a symbol prunes
+    files. A cache is not compared with its source: after a change of that, refresh it."""
     spark = bars.sparkSession
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-        bars.write.partitionBy("symbol").parquet(path)
+    if refresh or not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        bars.write.mode("overwrite").partitionBy("symbol").parquet(path)
     return spark.read.parquet(path).select(*bars.columns)
 
 
 def close_grid(bars: DataFrame, symbols: list[str]) -> DataFrame:
-    """Closes on the union of all times, a column a symbol, each filled forward."""
-    grid = bars.groupBy("ts").pivot("symbol", symbols).agg(F.max("close"))
-    w = Window.orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    return grid.select("ts", *[F.last(s, ignorenulls=True).over(w).alias(s) for s in symbols])
+    """Closes on the union of all times, a column a symbol, each filled forward.
+
+    Closes are carried along one day at a time; what a day starts with comes from a table with one row a day.
+    """
+    grid = bars.groupBy("ts").pivot("symbol", symbols).agg(F.max("close")).withColumn("day__", F.col("ts").cast("date"))
+    days = grid.groupBy(F.col("day__").alias("d__")).agg(*[F.max_by(s, F.when(F.col(s).isNotNull(), F.col("ts"))).alias(s) for s in symbols])
+    before = Window.orderBy("d__").rowsBetween(Window.unboundedPreceding, -1)  # one row a day
+    days = days.select("d__", *[F.last(s, ignorenulls=True).over(before).alias(f"{s}__") for s in symbols])
+    within = Window.partitionBy("day__").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    carried = grid.select("ts", "day__", *[F.last(s, ignorenulls=True).over(within).alias(s) for s in symbols])
+    return carried.join(days, F.col("day__") == F.col("d__")).select("ts", *[F.coalesce(s, f"{s}__").alias(s) for s in symbols])

@@ -23,8 +23,13 @@ def root(spark: SparkSession) -> str:
     return "file://" + _own[0]
 
 
+def folder(spark: SparkSession, label: str) -> str:
+    """A new folder's path; write it or below it."""
+    return f"{root(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """The table, written once and read back."""
-    path = f"{root(df.sparkSession)}/tidemark/{label}-{uuid.uuid4().hex}"
+    path = folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
