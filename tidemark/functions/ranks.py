@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -38,7 +40,7 @@ def mid_ranks(values: DataFrame, column: str) -> DataFrame:
     counted = values.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("ties"))
     edges = counted.agg(F.percentile_approx("value", [k / BUCKETS for k in range(1, BUCKETS)], 10_000)).first()[0] or []
     edges = sorted(set(edges))
-    at = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col("value"))) if edges else F.lit(0)
+    at = reduce(add, [(F.col("value") > e).cast("int") for e in edges], F.lit(0))  # no lambda: both sides of the join below share it
     counted = counted.withColumn("bucket", at)
     totals = counted.groupBy("bucket").agg(F.sum("ties").alias("n"))
     before = totals.select(F.col("bucket").alias("b2"), (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("before"))  # at most BUCKETS rows
