@@ -13,7 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker holds as words at one time; a single longer text is one chunk.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+
+#: Bytes of words that are hashed at one time, so that a very long text costs little more than itself.
+SLICE_BYTES = 1 << 18
 
 #: Rows that Spark puts in one Arrow batch for a Python worker; few, since any of them may be very long.
 BATCH_ROWS = 256
@@ -42,10 +45,15 @@ def _forget(url: str) -> None:
     shutil.rmtree(url.removeprefix("file://"), ignore_errors=True)
 
 
+#: Tables that were written and not dropped yet, in order.
+_live: dict[str, SparkSession] = {}
+
+
 def write_scratch(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Write ``df`` once to the shared folder; return the table read back and its path. This cuts lineage."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
+    _live[path] = spark
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -54,10 +62,35 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return write_scratch(df, label)[0]
 
 
+def written_last(df: DataFrame, label: str, since: int) -> DataFrame:
+    """``df`` written, and all tables of this driver dropped that were written after mark() gave ``since``: nothing else may read them."""
+    late = list(_live)[since:]
+    found = written(df, label)
+    for path in late:
+        drop_scratch(df.sparkSession, path)
+    return found
+
+
+def mark() -> int:
+    return len(_live)
+
+
 def drop_scratch(spark: SparkSession, path: str) -> None:
     """Delete a table of write_scratch() that nothing reads any more."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    _live.pop(path, None)
+
+
+@atexit.register
+def drop_all() -> None:
+    """Delete what is left when the driver ends; results read their tables until then."""
+    for path, spark in list(_live.items()):
+        if spark._sc._gateway is not None and spark._sc._jvm is not None:
+            try:
+                drop_scratch(spark, path)
+            except Exception:  # noqa: BLE001 - the JVM may be gone before the driver's Python
+                return
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -170,8 +203,23 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word's bytes and their places."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
+    out = np.zeros(len(starts), np.uint64)
+    for a, b in slices(ends - starts, SLICE_BYTES):
+        out[a:b] = _slice_hashes(data, starts[a:b], ends[a:b])
+    return out
+
+
+def slices(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Runs of neighbours whose sizes come to at most ``limit``, or one larger."""
+    upto = np.cumsum(sizes)
+    a = 0
+    while a < len(sizes):
+        b = max(int(np.searchsorted(upto, upto[a] - sizes[a] + limit, "right")), a + 1)
+        yield a, b
+        a = b
+
+
+def _slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     lens = ends - starts
     first = np.cumsum(lens) - lens
     place = np.arange(int(lens.sum())) - np.repeat(first, lens)
