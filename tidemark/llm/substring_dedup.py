@@ -14,7 +14,8 @@ boundary windows are those of one representative of each distinct phrase.
 Equality of phrases is decided on two 64-bit hashes, of the anchor and of the words; that of single windows on one that mixes both.
 
 Defined results: a null or empty text has no words and loses none; a text that is repeated as a row is a copy like
-any other; rows that share an id or have none are told apart by their text; an empty table gives an empty
+any other; rows that share an id or have none are told apart by a 64-bit hash and the length of their text, rows alike in
+both are the same text; ids of any type are kept as they are; a very long text is cut whole; an empty table gives an empty
 result; further columns are ignored.
 """
 
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import common
@@ -108,25 +109,33 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
+#: What names a row: its id, and its text's hash and length in characters.
+_ROW = ("id", "th", "size")
+
+
+def _id_type(docs: DataFrame) -> str:
+    return docs.schema["id"].dataType.simpleString()
+
+
 def _phrase_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(anchor, phrase, id, th, first, n): every phrase of the corpus; first and n count in windows of the document."""
+    """(anchor, phrase, id, th, size, first, n): every phrase of the corpus; first and n count in windows of the document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.chunks(batches):
             parsed = Parsed(batch, window, gram)
             anchor, phrase, row, first, n = parsed.phrases(window)
             at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([_signed(anchor), _signed(phrase), batch.column(0).take(at), batch.column(1).take(at), pa.array((first - parsed.first_word[row]).astype(np.int32)), pa.array(n.astype(np.int16))], names=["anchor", "phrase", "id", "th", "first", "n"])
+            yield pa.RecordBatch.from_arrays([_signed(anchor), _signed(phrase), *(batch.column(k).take(at) for k in range(3)), pa.array((first - parsed.first_word[row]).astype(np.int32)), pa.array(n.astype(np.int16))], names=["anchor", "phrase", *_ROW, "first", "n"])
 
-    return docs.mapInArrow(run, "anchor long, phrase long, id long, th int, first int, n short")
+    return docs.mapInArrow(run, f"anchor long, phrase long, id {_id_type(docs)}, th long, size int, first int, n short")
 
 
 def _boundary_windows(docs_edges: DataFrame, window: int, gram: int) -> DataFrame:
-    """(hash, id, th, at): the windows of the phrases that ``edges array<int>`` names by their first window."""
+    """(hash, id, th, size, at): the windows of the phrases that ``edges array<int>`` names by their first window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.chunks(batches):
-            lists = batch.column(3)
+            lists = batch.column(4)
             if lists.null_count == len(lists):
                 continue
             parsed = Parsed(batch, window, gram)
@@ -138,40 +147,46 @@ def _boundary_windows(docs_edges: DataFrame, window: int, gram: int) -> DataFram
             hashes = _group_hashes(parsed.prefix, parsed.inverse, at, at + window)
             rows = np.repeat(row, n)
             of = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([_signed(common.mix(np.repeat(anchor, n)) ^ hashes), batch.column(0).take(of), batch.column(1).take(of), pa.array((at - parsed.first_word[rows]).astype(np.int32))], names=["hash", "id", "th", "at"])
+            yield pa.RecordBatch.from_arrays([_signed(common.mix(np.repeat(anchor, n)) ^ hashes), *(batch.column(k).take(of) for k in range(3)), pa.array((at - parsed.first_word[rows]).astype(np.int32))], names=["hash", *_ROW, "at"])
 
-    return docs_edges.mapInArrow(run, "hash long, id long, th int, at int")
+    return docs_edges.mapInArrow(run, f"hash long, id {_id_type(docs_edges)}, th long, size int, at int")
 
 
 def _keyed(docs: DataFrame, id_col: str) -> DataFrame:
-    """(id, th, text): th tells rows apart that share an id or have none; rows alike in both are the same text."""
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.hash("text").alias("th"), "text")
+    """(id, th, size, text): the last but one tell rows apart that share an id or have none."""
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64("text").alias("th"), F.coalesce(F.length("text"), F.lit(-1)).alias("size"), "text")
+
+
+def _same_row(prefix: str) -> Column:
+    return F.col("id").eqNullSafe(F.col(f"{prefix}id")) & (F.col("th") == F.col(f"{prefix}th")) & (F.col("size") == F.col(f"{prefix}size"))
 
 
 def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """``id``, ``th`` (the text's hash) and ``spans array<struct<first, n>>``: runs of windows (by first word) that also start elsewhere."""
+    """``id``, ``th``, ``size`` and ``spans array<struct<first, n>>``, written: runs of windows (by first word) that also start elsewhere."""
+    since = common.mark()
     source = _keyed(docs, id_col)
     phrases = common.written(_phrase_rows(source, window, gram), "phrases")
     counted = common.written(
-        phrases.groupBy("anchor", "phrase").agg(F.count("*").alias("c"), F.min(F.struct("id", "th", "first")).alias("at")), "reference"
+        phrases.groupBy("anchor", "phrase").agg(F.count("*").alias("c"), F.min(F.struct(*_ROW, "first")).alias("at")), "reference"
     )
     shared = counted.groupBy("anchor").agg(F.count("*").alias("distinct_phrases")).where("distinct_phrases > 1").withColumnRenamed("anchor", "a2")
     factors = counted.where("c > 1").select(F.col("anchor").alias("a2"), F.col("phrase").alias("p2"))
-    whole = phrases.join(factors, (F.col("anchor") == F.col("a2")) & (F.col("phrase") == F.col("p2"))).select("id", "th", "first", F.col("n").cast("int").alias("n"))
-    edges = counted.join(shared, F.col("anchor") == F.col("a2")).select(F.col("at.id").alias("eid"), F.col("at.th").alias("eth"), F.col("at.first").alias("first"))
-    edges = edges.groupBy("eid", "eth").agg(F.collect_list("first").alias("edges"))
-    looked = common.written(_boundary_windows(source.join(edges, F.col("id").eqNullSafe(F.col("eid")) & (F.col("th") == F.col("eth"))).select("id", "th", "text", "edges"), window, gram), "boundary")
+    whole = phrases.join(factors, (F.col("anchor") == F.col("a2")) & (F.col("phrase") == F.col("p2"))).select(*_ROW, "first", F.col("n").cast("int").alias("n"))
+    edges = counted.join(shared, F.col("anchor") == F.col("a2")).select(*(F.col(f"at.{c}").alias(f"e{c}") for c in _ROW), F.col("at.first").alias("first"))
+    edges = edges.groupBy(*(f"e{c}" for c in _ROW)).agg(F.collect_list("first").alias("edges"))
+    looked = common.written(_boundary_windows(source.join(edges, _same_row("e")).select(*_ROW, "text", "edges"), window, gram), "boundary")
     twice = looked.groupBy("hash").agg(F.count("*").alias("c")).where("c > 1").select(F.col("hash").alias("h2"))
     twice = common.written(twice, "boundary-hits")  # a scan on either side lets Spark split a hot window
-    found = looked.join(twice, F.col("hash") == F.col("h2")).select("id", "th", F.col("at").alias("first"), F.lit(1).alias("n"))
-    return whole.union(found).groupBy("id", "th").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
+    found = looked.join(twice, F.col("hash") == F.col("h2")).select(*_ROW, F.col("at").alias("first"), F.lit(1).alias("n"))
+    spans = whole.union(found).groupBy(*_ROW).agg(F.collect_list(F.struct("first", "n")).alias("spans"))
+    return common.written_last(spans, "spans", since)
 
 
 def _cut(docs_spans: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.chunks(batches):
             n_words, n_removed, kept = [], [], []
-            lists = batch.column(3)
+            lists = batch.column(4)
             for i, text in enumerate(common.texts_of(batch)):
                 words = text.split()
                 spans = lists[i]
@@ -188,13 +203,12 @@ def _cut(docs_spans: DataFrame, window: int) -> DataFrame:
                 kept.append(b" ".join(words).decode())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["id", "n_words", "n_removed", "kept_text"])
 
-    return docs_spans.mapInArrow(run, "id long, n_words long, n_removed long, kept_text string")
+    return docs_spans.mapInArrow(run, f"id {_id_type(docs_spans)}, n_words long, n_removed long, kept_text string")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """``id_col``, ``n_words``, ``n_removed`` and ``kept_text`` (kept words joined by one space) of every document."""
     common.small_batches(docs.sparkSession)
-    spans = duplicate_spans(docs, id_col, window, gram).withColumnsRenamed({"id": "sid", "th": "sth"})
-    source = _keyed(docs, id_col)
-    return _cut(source.join(spans, F.col("id").eqNullSafe(F.col("sid")) & (F.col("th") == F.col("sth")), "left").select("id", "th", "text", "spans"), window).withColumnRenamed("id", id_col)
-
+    spans = duplicate_spans(docs, id_col, window, gram).withColumnsRenamed({c: f"s{c}" for c in _ROW})
+    rows = _keyed(docs, id_col).join(spans, _same_row("s"), "left").select(*_ROW, "text", "spans")
+    return _cut(rows, window).withColumnRenamed("id", id_col)
