@@ -12,8 +12,8 @@ so do strings that differ from one only by such backslashes, which makes the esc
 the formatted text is their concatenation.
 
 Defined results: a null text is empty; a null turn sorts first; a null role is the role ``unknown``; equal turns are ordered by
-role and text and all kept; rows with a null conv_id are one conversation; an empty table gives an empty result;
-further columns are ignored.
+role and text and all kept; a row without a conv_id is a conversation of its own, since nothing says which others it
+belongs to; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -57,7 +57,8 @@ def _role_in(shown: Column) -> Column:
 def format_chats(turns: DataFrame) -> DataFrame:
     """``conv_id``, ``segments array<struct<text, loss>>`` and ``formatted`` of every conversation."""
     rows = turns.select("conv_id", F.struct("turn", F.coalesce("role", F.lit(UNKNOWN)).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
-    sorted_turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    sorted_turns = rows.where("conv_id is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    sorted_turns = sorted_turns.union(rows.where("conv_id is null").select("conv_id", F.array("t")))
     size = F.size("turns")
     changes = F.filter(F.sequence(F.lit(1), size), lambda i: (i == 1) | (F.element_at("turns", i)["role"] != F.element_at("turns", F.greatest(i - 1, F.lit(1)))["role"]))
     messages = F.transform(

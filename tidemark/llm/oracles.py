@@ -28,12 +28,12 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   and not 10 * len(regexp_extract_all(t, '[0-9]')) > 3 * word_chars and not (word_chars < 2 * n_words or word_chars > 15 * n_words) and not 2 * n_dup_lines > n_lines kept from b"""
 
 OP4 = r"""
-with t as (select conv_id, turn, coalesce(role, 'unknown') r, coalesce(text, '') x from conversations union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
-o as (select *, lag(r) over q p, lead(r) over q n from t window q as (partition by conv_id order by turn nulls first, r, x)),
+with t as (select conv_id, case when conv_id is null then row_number() over () end alone, turn, coalesce(role, 'unknown') r, coalesce(text, '') x from conversations union all select -7, null, 0, 'user', '\### Assistant: </turn> ok' union all select -7, null, 1, 'assistant', '\### Assistant: </turn> ok'),
+o as (select *, lag(r) over q p, lead(r) over q n from t window q as (partition by conv_id, alone order by turn nulls first, r, x)),
 c as (select *, length(x) + len(regexp_extract_all(x, '<\\*/(?:turn|part)>')) + len(regexp_extract_all(x, '#\\*## ')) + case when n = r then 7 else 8 end
   + case when p = r then 0 else 6 + length(replace(replace(replace(replace(r, '\', '\b'), ':', '\c'), chr(10), '\n'), '<', '\l')) end chars from o)
 select conv_id, count(*) n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' order by turn nulls first, r, x)) turns_sha256,
-  coalesce(sum(length(x)) filter (where r = 'assistant'), 0)::bigint loss_chars, sha256(coalesce(string_agg(x, '' order by turn nulls first, r, x) filter (where r = 'assistant'), '')) loss_sha256, sum(chars)::bigint formatted_chars from c group by 1"""
+  coalesce(sum(length(x)) filter (where r = 'assistant'), 0)::bigint loss_chars, sha256(coalesce(string_agg(x, '' order by turn nulls first, r, x) filter (where r = 'assistant'), '')) loss_sha256, sum(chars)::bigint formatted_chars from c group by conv_id, alone"""
 
 OP5 = f"""
 with l as (select doc_id, text, unnest(string_split(text, chr(10))) x, generate_subscripts(string_split(text, chr(10)), 1) k from documents),
