@@ -71,3 +71,16 @@ def test_curve_visits_each_cell_once_by_single_steps(dims, bits):
 
 def test_empty(no_docs):
     assert op.pack(no_docs, PATH).count() == 0
+
+
+def test_another_tokenizer_encodes_whole_texts_and_ids_keep_their_type(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert op.works_by_word(PATH) and not op.works_by_word(path)
+    texts = [("a", "Two  words,\n 12 done"), ("b", ""), (None, "été " * 3000)]
+    got = op.pack(spark.createDataFrame(texts, "doc_id string, text string"), path).collect()
+    t = Tokenizer.from_file(path)
+    for i, text in texts:
+        ids = [*t.encode(text, add_special_tokens=False).ids, 2]
+        pieces = sorted((p for p in got if p.doc_id == i), key=lambda p: p.start)
+        assert [p.ids_crc32 for p in pieces] == [zlib.crc32(np.array(ids[p.start : p.start + p.length], "<u4").tobytes()) for p in pieces]
+        assert sum(p.length for p in pieces) == len(ids)

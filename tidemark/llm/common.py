@@ -82,6 +82,12 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
     _live.pop(path, None)
 
 
+def table_bytes(spark: SparkSession, path: str) -> int:
+    """The size of a written table, which the file system knows."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return int(hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(hadoop).getLength())
+
+
 @atexit.register
 def drop_all() -> None:
     """Delete what is left when the driver ends; results read their tables until then."""
