@@ -15,7 +15,7 @@ def brute(text):
     lines = [x for x in text.split("\n") if x.encode().split()]
     stats = (len(words), sum(len(w.decode()) for w in words), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(repeated))
     failed = len(words) < 50 or 100 * len(repeated) > 50 * len(words)
-    return *stats, failed, not failed and not any(r.rejects(text.encode(), stats[0], stats[1]) for r in op.RULES)
+    return *stats, failed, not failed and not any(r.rejects(text.encode(), op.Counts(*stats[:4], len(lines))) for r in op.RULES)
 
 
 def judged(docs, **more):
@@ -43,20 +43,23 @@ def test_order_changes_the_work_but_not_the_verdict(odd_docs):
     assert judged(odd_docs, rules=tuple(rules)) == judged(odd_docs)
 
 
-def test_cascade_runs_best_rejection_per_cost_first():
-    import time
+def test_cascade_runs_best_rejection_per_cost_first_given_those_before():
+    rules = tuple(op.Rule(x, None) for x in ("slow", "never", "cheap", "twin"))
+    # twin rejects what cheap does and a little more, so after cheap it is worth less than slow
+    found = op.ordered(rules, [4.0, 1.0, 1.0, 1.5], {0b1100: 50, 0b1000: 1, 0b0001: 20, 0: 29})
+    assert [e.rule.name for e in found] == ["cheap", "slow", "twin", "never"]
+    assert [round(e.rejected, 3) for e in found] == [0.5, 0.4, round(1 / 30, 3), 0.0]
 
-    def slow(text, n, c):
-        time.sleep(0.002)
-        return text.startswith(b"a")
 
-    rules = (op.Rule("slow", slow), op.Rule("never", lambda t, n, c: False), op.Rule("cheap", lambda t, n, c: t.startswith(b"a")))
-    order = [e.rule.name for e in op.estimate([b"a b", b"c d"], rules)]
-    assert order[0] == "cheap" and order[-1] == "never"
+def test_measured_on_documents_that_pass_the_base(spark):
+    good = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    docs = spark.createDataFrame([(1, good), (2, good + " !" * 20), (3, "! ! !")], "doc_id long, text string")
+    shares = {e.rule.name: e.rejected for e in op.plan_cascade(docs)}
+    assert shares["exclaiming"] == 0.5 and sum(shares.values()) == 0.5
 
 
 def test_a_document_leaves_at_its_first_rejection(spark):
-    rules = (op.Rule("certain", lambda t, n, c: True), op.Rule("never", lambda t, n, c: False))
+    rules = (op.Rule("certain", lambda t, n: True), op.Rule("never", lambda t, n: False))
     docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(60)))], "doc_id long, text string")
     found = op.judge(docs, rules=rules).first()
     assert found.failed_rule == "certain" and not found.kept and not found.base_failed

@@ -238,9 +238,10 @@ def _slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
 
 def per_row(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """How many of the flagged bytes lie in each row."""
-    total = np.zeros(len(flags) + 1, np.int64)
-    np.cumsum(flags, out=total[1:])
-    return total[offsets[1:]] - total[offsets[:-1]]
+    found, some = np.zeros(len(offsets) - 1, np.int64), np.diff(offsets) > 0
+    if some.any():
+        found[some] = np.add.reduceat(flags, offsets[:-1][some], dtype=np.int64)
+    return found
 
 
 def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
