@@ -8,13 +8,15 @@ hashed words and a few ratios. A hidden representation h of each passage gets a
 and the document's score is the logistic of a linear function of the weighted mean of h. Labels are known for documents
 only; which passages matter is learned.
 
-The fit uses at most ``SAMPLE`` labelled documents of at most ``SAMPLE_CHARS`` characters, those whose ids hash
-lowest; everything else covers all rows. Scoring is one narrow pass.
-
-Defined results: a null or empty text is one passage of zeros and gets a score like any other; documents without label
-are scored; labels of absent documents, null labels and labels other than 0 and 1 are not learned; a label repeated
-for an id counts once, the least; without any usable label every score is 0.5; further columns are ignored
-unless named in ``keep``.
+The fit uses at most ``SAMPLE`` labelled documents, those whose ids hash lowest, whatever their length; of a document with
+more than ``FIT_PASSAGES`` passages it uses that many, evenly spaced. Everything else covers all rows and all passages.
+Scoring is one narrow pass.
+
+Defined results: a null or empty text is one passage of zeros and gets a score like any other, as does a very long one, whose
+passages are encoded in slices; documents without label are scored; labels of absent documents, null labels and labels
+other than 0 and 1 are not learned; a label repeated for an id counts once, the least, and so does a document repeated for
+an id, that whose text hashes lowest; equal texts score alike; ids of any type are kept as they are; without any usable
+label every score is 0.5; further columns are ignored unless named in ``keep``.
 """
 
 from __future__ import annotations
@@ -33,8 +35,11 @@ PASSAGE = 96
 PAIRS, BAG, RATIOS = 96, 64, 10
 WIDTH = PAIRS + BAG + RATIOS
 
-#: The bound of the fit: labelled documents, and characters of each.
-SAMPLE, SAMPLE_CHARS = 4000, 50_000
+#: The bound of the fit: labelled documents, and passages of each.
+SAMPLE, FIT_PASSAGES = 4000, 512
+
+#: Bytes of passages that are encoded at one time, and passages that are scored at one time.
+SLICE_BYTES, SLICE_PASSAGES = 1 << 18, 1 << 14
 
 HIDDEN, GATE, EPOCHS, BAGS, RATE, DECAY, SEED = 24, 12, 30, 128, 0.01, 1e-4, 17
 
@@ -73,28 +78,36 @@ def encode(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     passage = first[row] + place // PASSAGE
     opens = np.flatnonzero(place % PASSAGE == 0)
     h = common.word_hashes(data, starts, ends)
-    words = np.bincount(passage, minlength=total)
-    bag = passage * BAG + (h % np.uint64(BAG)).astype(np.int64)
+    again = _repeats(h, row)
+    begin, stop = starts[opens], np.concatenate([ends[opens[1:] - 1], ends[-1:]])
+    upto = np.concatenate([opens, [len(starts)]])
+    for a, b in common.slices(stop - begin, SLICE_BYTES):
+        words = slice(upto[a], upto[b])
+        into = passage[opens[a:b]]  # every passage but those of texts without words
+        x[into] = _features(data, begin[a:b], stop[a:b], h[words], again[words], np.repeat(np.arange(b - a), np.diff(upto[a : b + 1])))
+    return x, first
+
+
+def _features(data: np.ndarray, begin: np.ndarray, stop: np.ndarray, h: np.ndarray, again: np.ndarray, of_word: np.ndarray) -> np.ndarray:
+    """The numbers of neighbouring passages: their bytes from begin to stop, and the hash and repetition of each word."""
+    total = len(begin)
+    x = np.zeros((total, WIDTH), np.float32)
+    words = np.bincount(of_word, minlength=total)
+    bag = of_word * BAG + (h % np.uint64(BAG)).astype(np.int64)
     x[:, PAIRS : PAIRS + BAG] = (np.bincount(bag, np.where((h >> np.uint64(40)) & np.uint64(1), 1.0, -1.0), total * BAG)).reshape(total, BAG) / np.sqrt(np.maximum(words, 1))[:, None]
-    begin = starts[opens]
-    stop = np.concatenate([ends[opens[1:] - 1], ends[-1:]])
-    at_passage = passage[opens]
     size = stop - begin
-    of_byte = np.repeat(at_passage, size)
-    at = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-    now = data[at].astype(np.int64)
+    of_byte = np.repeat(np.arange(total), size)
+    raw = data[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+    now = raw.astype(np.int64)
     pair = (now[:-1] * 31 + now[1:] * 7919 + (now[:-1] * now[1:] >> 3)) % PAIRS
     inside = of_byte[1:] == of_byte[:-1]
     counted = np.bincount(of_byte[:-1][inside] * PAIRS + pair[inside], minlength=total * PAIRS).reshape(total, PAIRS)
-    n_bytes = np.bincount(of_byte, minlength=total)
-    length = np.maximum(n_bytes, 1)
+    length = np.maximum(size, 1)
     x[:, :PAIRS] = np.sqrt(counted / length[:, None])
-    raw = data[at]
-    again = _repeats(h, row)
     ratios = [np.bincount(of_byte[t[raw]], minlength=total) / length for t in (_UPPER, _LOWER, _DIGIT, _POINT, _SHOUT, _MARK, _LINE)]
-    ratios += [n_bytes / np.maximum(words, 1) / 10, np.bincount(passage[again], minlength=total) / np.maximum(words, 1), words / PASSAGE]
+    ratios += [size / np.maximum(words, 1) / 10, np.bincount(of_word[again], minlength=total) / np.maximum(words, 1), words / PASSAGE]
     x[:, PAIRS + BAG :] = np.stack(ratios, 1)
-    return x, first
+    return x
 
 
 def _repeats(h: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -135,7 +148,23 @@ class Attention:
         return c
 
     def score(self, x: np.ndarray, first: np.ndarray) -> np.ndarray:
-        return self._forward(x.astype(np.float64), first)["y"]
+        """Each document's score. Passages are weighed in slices: only the sums that the softmax needs outlive a slice."""
+        p, n = self.held, len(first)
+        bag = np.repeat(np.arange(n), np.diff(np.concatenate([first, [len(x)]])))
+        top, mass, z = np.full(n, -np.inf), np.zeros(n), np.zeros((n, len(p["b"])))
+        for at in range(0, len(x), SLICE_PASSAGES):
+            part = np.clip((x[at : at + SLICE_PASSAGES].astype(np.float64) - self.mean) / self.scale, -8, 8)
+            h = np.tanh(part @ p["W"] + p["b"])
+            e = (np.tanh(h @ p["V"]) * _sigmoid(h @ p["U"])) @ p["w"]
+            of = bag[at : at + SLICE_PASSAGES]
+            docs, start = np.unique(of, return_index=True)
+            higher = np.maximum(top[docs], np.maximum.reduceat(e, start))
+            shrink = np.exp(top[docs] - higher)
+            top[docs] = higher
+            a = np.exp(e - top[of])
+            mass[docs] = mass[docs] * shrink + np.add.reduceat(a, start)
+            z[docs] = z[docs] * shrink[:, None] + np.add.reduceat(a[:, None] * h, start)
+        return _sigmoid(z / mass[:, None] @ p["c"] + p["d"][0])
 
     def attention(self, x: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Each passage's weight in its document."""
@@ -196,20 +225,27 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     known = labels.where(F.col("quality").isin(0, 1) & ~held_out(id_col)).groupBy(id_col).agg(F.min("quality").cast("int").alias("label__"))
     share = 1.2 * sample / max(known.count(), 1)  # so few rows are sorted, wherever the labels come from
     known = known.where(common.hash_share(share, id_col)).orderBy(F.xxhash64(id_col), id_col).limit(sample).withColumnRenamed(id_col, "label_id__")
-    rows = docs.select(id_col, "text").join(F.broadcast(known), F.col(id_col) == F.col("label_id__")).where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS)
+    rows = docs.select(id_col, "text").join(F.broadcast(known), F.col(id_col) == F.col("label_id__"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.chunks(batches):
             x, first = encode(batch)
-            bags = np.split(x.astype(np.float16), first[1:])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([b.tobytes() for b in bags], pa.binary())], names=["id", "label", "bag"])
+            bags = [_thinned(b).tobytes() for b in np.split(x.astype(np.float16), first[1:])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(bags, pa.binary())], names=["id", "label", "rank", "bag"])
 
-    found = rows.select(F.col(id_col).cast("long").alias("id"), F.col("label__").alias("label"), "text").mapInArrow(run, "id long, label int, bag binary").collect()
-    found = sorted(((r.id, r.label, bytes(r.bag)) for r in found))[: 2 * sample]  # ids may repeat in the table
+    made = rows.select(F.col(id_col).alias("id"), F.col("label__").alias("label"), F.xxhash64("text").alias("rank"), "text")
+    made = made.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, label int, rank long, bag binary")
+    one = made.groupBy("id").agg(F.min(F.struct("rank", "label", "bag")).alias("d"))  # at most ``sample`` rows, whatever repeats
+    found = sorted(((r.d.rank, r.d.label, bytes(r.d.bag)) for r in one.collect()))
     bags = [np.frombuffer(b, np.float16).reshape(-1, WIDTH) for _, _, b in found]
     return fit(bags, np.array([y for _, y, _ in found], np.float64))
 
 
+def _thinned(bag: np.ndarray, most: int = FIT_PASSAGES) -> np.ndarray:
+    """The bag's passages, or ``most`` of them, evenly spaced."""
+    return bag if len(bag) <= most else bag[np.linspace(0, len(bag) - 1, most).round().astype(int)]
+
+
 def score(docs: DataFrame, model: Attention | None, keep: tuple[str, ...] = ("doc_id",), into: str = "score") -> DataFrame:
     """``keep`` and the score, under the name ``into``, of every row."""
     spark = docs.sparkSession
