@@ -1,7 +1,8 @@
 """Near-duplicate line removal by a deletion-neighbourhood join, with DataFrame functions only.
 
-A line of ``min_chars`` characters or more is removed if a line within ``EDITS`` edit of it stands earlier in the
-corpus, by (doc_id, line number); the earliest stays, and so do shorter lines. The steps:
+A line is removed if an equal one stands earlier in the corpus, by (doc_id, line number), or, where it has ``near_chars``
+characters or more, one within ``edits`` edits of it that has as many; the earliest stays. Blank lines hold nothing to
+repeat and stay. ``edits`` is 1, or 0 for equal lines alone. The steps:
 
 1. Lines are reduced to distinct ones by hash, with their earliest place; copies are one row from here on.
 2. Two lines within one edit agree on the first or on the last half of the shorter one. Lines that share no such half
@@ -15,7 +16,10 @@ corpus, by (doc_id, line number); the earliest stays, and so do shorter lines. T
    that can stand in one place, whatever the corpus.
 5. The edit distance of each line and the earliest neighbour found is verified on the texts.
 
-Defined results: a null text has no lines and stays null; an empty text is one short line; rows that share an id are told
+The bound is 1 because a line's neighbourhood grows with its length to the power of the bound; ``near_chars`` is there because
+one edit makes another line of a short one ("Chapter 1", "Chapter 2").
+
+Defined results: a null text has no lines and stays null; an empty text is one blank line; rows that share an id are told
 apart by their text, and rows alike in both are the same place, which is never earlier than itself; null ids come
 first; an empty table gives an empty result; further columns pass through unchanged.
 """
@@ -27,16 +31,16 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import common
 
-EDITS, MIN_CHARS = 1, 20
+EDITS, NEAR_CHARS = 1, 20
 
 _PLACE = ("id", "th", "line_no")
 _LINE = ("h1", "h2", "len")
 
 
-def _lines(docs: DataFrame, id_col: str, min_chars: int) -> DataFrame:
+def _lines(docs: DataFrame, id_col: str) -> DataFrame:
     """(id, th, line_no, line) of all lines that can be duplicates."""
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return rows.where(F.length("line") >= min_chars)
+    return rows.where(F.trim(F.col("line"), F.lit(" \t\r\x0b\x0c")) != "")
 
 
 def _hashed(lines: DataFrame) -> DataFrame:
@@ -82,11 +86,12 @@ def _neighbourhood(texts: DataFrame) -> DataFrame:
 
 def earlier_neighbours(distinct: DataFrame, lines: DataFrame) -> DataFrame:
     """(h1, h2, len, earliest): the earliest place of a line one edit away that comes before the line's own first."""
-    keys = distinct.select(*_LINE, "first", F.posexplode("halves").alias("side", "half"))
+    keys = distinct.select(*_LINE, "first", F.posexplode("halves").alias("side", "half"))  # lines that are too short have no halves
     shared = keys.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select(F.col("half").alias("half2"))
     suspects = keys.join(shared, F.col("half") == F.col("half2"), "left_semi")
     suspects = suspects.groupBy(*_LINE, "first").agg(F.max(F.col("side") % 2 == 0).alias("head_shared"), F.max(F.col("side") % 2 == 1).alias("tail_shared"))
     named = suspects.select(*(F.col(c).alias(f"s_{c}") for c in _LINE), "first", "head_shared", "tail_shared")
+    named = common.written(named, "suspects")  # a table of known size: Spark sends it out if it is small, else joins by sorting
     on = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th")) & (F.col("line_no") == F.col("first.line_no")) & (F.xxhash64("line") == F.col("s_h1"))
     texts = lines.join(named, on).select(*(F.col(f"s_{c}").alias(c) for c in _LINE), "first", "head_shared", "tail_shared", "line").dropDuplicates(list(_LINE))
     texts = common.written(texts, "suspect-lines")
@@ -108,23 +113,29 @@ def earlier_neighbours(distinct: DataFrame, lines: DataFrame) -> DataFrame:
     return pairs.where(F.levenshtein("a", "b", EDITS).between(0, EDITS)).select("who.h1", "who.h2", "who.len", F.col("best.first").alias("earliest"))
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", min_chars: int = MIN_CHARS) -> DataFrame:
-    """(rid__, rth__, gone__ array<int>): the numbers of the lines that each document loses."""
-    lines = _lines(docs, id_col, min_chars)
-    hashed = common.written(_hashed(lines).select(*_PLACE, *_LINE, _half_keys(F.col("line"), F.col("len")).alias("halves")), "lines")
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", near_chars: int = NEAR_CHARS, edits: int = EDITS) -> DataFrame:
+    """(rid__, rth__, gone__ array<int>), written: the numbers of the lines that each document loses."""
+    if edits not in (0, 1):
+        raise ValueError("edits is 0 or 1")
+    since = common.mark()
+    lines = _lines(docs, id_col)
+    hashed = common.written(_hashed(lines).select(*_PLACE, *_LINE, F.when(F.col("len") >= near_chars, _half_keys(F.col("line"), F.col("len"))).alias("halves")), "lines")
     distinct = hashed.groupBy(*_LINE, "halves").agg(F.min(_place()).alias("first"), F.count("*").alias("n"))
     distinct = common.written(distinct, "distinct-lines")
-    near = earlier_neighbours(distinct, lines).select(*(F.col(c).alias(f"n_{c}") for c in _LINE), "earliest")
-    least = distinct.join(near, [F.col(c) == F.col(f"n_{c}") for c in _LINE], "left").where("n > 1 or earliest is not null")
-    least = least.select(*(F.col(c).alias(f"d_{c}") for c in _LINE), F.least("first", "earliest").alias("stays"))
+    least = distinct.where("n > 1").select(*_LINE, F.col("first").alias("stays"))
+    if edits:
+        near = earlier_neighbours(distinct, lines).select(*(F.col(c).alias(f"n_{c}") for c in _LINE), "earliest")
+        least = distinct.join(near, [F.col(c) == F.col(f"n_{c}") for c in _LINE], "left").where("n > 1 or earliest is not null").select(*_LINE, F.least("first", "earliest").alias("stays"))
+    least = least.select(*(F.col(c).alias(f"d_{c}") for c in _LINE), "stays")
     least = common.written(least, "kept-lines")  # a scan on either side lets Spark split the occurrences of a hot line
     gone = hashed.join(least, [F.col(c) == F.col(f"d_{c}") for c in _LINE]).where(_place() > F.col("stays"))
-    return gone.groupBy(F.col("id").alias("rid__"), F.col("th").alias("rth__")).agg(F.collect_set("line_no").alias("gone__"))
+    gone = gone.groupBy(F.col("id").alias("rid__"), F.col("th").alias("rth__")).agg(F.collect_set("line_no").alias("gone__"))
+    return common.written_last(gone, "gone-lines", since)
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", min_chars: int = MIN_CHARS) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", near_chars: int = NEAR_CHARS, edits: int = EDITS) -> DataFrame:
     """``docs`` with ``text`` without the removed lines, and ``gone__``, their numbers (null: none)."""
-    gone = removed_lines(docs.select(id_col, "text"), id_col, min_chars)
+    gone = removed_lines(docs.select(id_col, "text"), id_col, near_chars, edits)
     joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col("rid__")) & (F.xxhash64("text") == F.col("rth__")), "left")
     lines = F.split("text", "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone__"))

@@ -6,7 +6,7 @@ XXH64 fingerprints, fitted models, tokenizers and HTML trees are beyond SQL; tes
 from __future__ import annotations
 
 from tidemark.llm.decontamination import WINDOW as PHRASE
-from tidemark.llm.line_dedup import MIN_CHARS
+from tidemark.llm.line_dedup import NEAR_CHARS
 from tidemark.llm.quality_rules import MAX_REPEAT_PERCENT, MIN_WORDS
 from tidemark.llm.substring_dedup import WINDOW
 
@@ -35,10 +35,10 @@ c as (select *, length(x) + len(regexp_extract_all(x, '<\\*/(?:turn|part)>')) +
 select conv_id, count(*) n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' order by turn nulls first, r, x)) turns_sha256,
   coalesce(sum(length(x)) filter (where r = 'assistant'), 0)::bigint loss_chars, sha256(coalesce(string_agg(x, '' order by turn nulls first, r, x) filter (where r = 'assistant'), '')) loss_sha256, sum(chars)::bigint formatted_chars from c group by conv_id, alone"""
 
-OP5 = f"""
+OP5 = rf"""
 with l as (select doc_id, text, unnest(string_split(text, chr(10))) x, generate_subscripts(string_split(text, chr(10)), 1) k from documents),
-u as (select x, min(row(doc_id, k)) f, length(x) n from l where length(x) >= {MIN_CHARS} group by 1),
-h as (select x, f, n, m, side, case side when 0 then left(x, m // 2) else substr(x, n - m // 2 + 1) end s from (select *, unnest([n, n - 1]) m from u) cross join (values (0), (1)) v(side)),
+u as (select x, min(row(doc_id, k)) f, length(x) n from l where regexp_matches(x, '[^ \t\r\x0b\x0c]') group by 1),
+h as (select x, f, n, m, side, case side when 0 then left(x, m // 2) else substr(x, n - m // 2 + 1) end s from (select *, unnest([n, n - 1]) m from u where n >= {NEAR_CHARS}) cross join (values (0), (1)) v(side)),
 c as (select distinct a.x a, b.x b, a.n na, b.n nb, b.f fb from h a join h b on a.m = b.m and a.side = b.side and a.s = b.s and b.f < a.f and abs(a.n - b.n) <= 1),
 q as (select a, min(fb) e from c where case when na = nb then len(list_filter(range(1, na + 1), lambda i: left(a, i::int - 1) = left(b, i::int - 1) and substr(a, i::int + 1) = substr(b, i::int + 1)))
   when na > nb then len(list_filter(range(1, na + 1), lambda i: left(a, i::int - 1) = left(b, i::int - 1) and substr(a, i::int + 1) = substr(b, i::int)))
