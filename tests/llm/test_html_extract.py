@@ -1,3 +1,7 @@
+import random
+import time
+from html.parser import HTMLParser
+
 import pytest
 
 from tidemark.llm import html_extract as op
@@ -27,6 +31,44 @@ def test_simple_tree_matching_aligns_optional_nodes():
     assert op.align(a, b) == {0: 0, 1: 2, 3: 3, 4: 4}
 
 
+def brute_align(a, b):
+    """The size of the largest matching that keeps order and parents, by plain recursion over nested lists."""
+    if a[0] != b[0]:
+        return 0
+    m = [[0] * (len(b[1]) + 1) for _ in range(len(a[1]) + 1)]
+    for i, x in enumerate(a[1], 1):
+        for j, y in enumerate(b[1], 1):
+            m[i][j] = max(m[i - 1][j], m[i][j - 1], m[i - 1][j - 1] + brute_align(x, y))
+    return 1 + m[-1][-1]
+
+
+def lines(tree, depth=0):
+    return "\n".join([f"{depth} {tree[0]}", *(lines(t, depth + 1) for t in tree[1])])
+
+
+def test_alignment_is_the_largest_by_brute_force():
+    rnd = random.Random(3)
+
+    def tree(depth):
+        labels = rnd.sample("abcdef", rnd.randint(0, 5)) if depth < 4 else []
+        return ["r" if depth == 0 else None, [[x, tree(depth + 1)[1]] for x in labels]]
+
+    for _ in range(60):
+        a, b = tree(0), tree(0)
+        found = op.align(lines(a), lines(b))
+        assert len(found) == brute_align(a, b) == len(set(found.values()))
+
+
+def test_wide_and_deep_pages_align_in_no_time():
+    wide = "".join(f"<div class=c{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}><p>{i}</p></div>" for i in range(5000))
+    began = time.perf_counter()
+    one, two = op.skeleton(op.parse(wide)), op.skeleton(op.parse("<p>x</p>" + wide[2000:]))
+    assert len(op.align(one.lines, two.lines)) > 9000
+    deep = op.skeleton(op.parse("<div>" * 5000 + "<section>x</section>" + "</div>" * 5000)).lines
+    assert len(op.align(deep, deep.replace("section", "em"))) == 5001
+    assert time.perf_counter() - began < 20
+
+
 def test_template_is_constant_across_pages_of_a_host(spark):
     bodies = [f"<body><div><span>Our shop</span></div><div id=c><p>Text number {i} is new</p></div><section>Call us</section></body>" for i in range(5)]
     rows = [(i, f"http://h.example/{i}", b) for i, b in enumerate(bodies)] + [(9, "http://other.example/", bodies[0])]
@@ -44,11 +86,70 @@ def test_repeated_articles_stay(spark):
     assert sum(r.text == "" for r in got) == 2
 
 
+class Article(HTMLParser):
+    """The blocks of the article by the standard library's parser, for pages whose article is one element."""
+
+    def __init__(self):
+        super().__init__()
+        self.inside, self.blocks = False, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside = self.inside or tag == "article"
+        if tag in ("p", "h1", "h2", "div", "ul", "li", "br"):
+            self.blocks.append("") if tag != "br" else self.handle_data(" ")
+
+    def handle_endtag(self, tag):
+        if tag in ("p", "h1", "h2", "div", "ul", "li", "article"):
+            self.blocks.append("")
+        self.inside = self.inside and tag != "article"
+
+    def handle_data(self, data):
+        if self.inside:
+            self.blocks[-1] += data
+
+
 def test_whole_table(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     got = {r.page_id: r.text for r in op.extract(pages).collect()}
     for r in pages.collect():
-        assert got[r.page_id] == op.main_text(op.parse(r.html)) != ""
+        expected = Article()
+        expected.feed(r.html)
+        expected.close()
+        assert got[r.page_id] == "\n".join(t for t in (" ".join(x.split()) for x in expected.blocks) if t) != ""
+
+
+def site(k, more="", note="Read more on our site"):
+    """A page whose only article elements are teasers; the story is in a div, with a constant line inside."""
+    return f"""<html><body><div class="top">Daily <b>News</b> of the town</div><div class="story-{k}"><h1>Story {k}</h1><p>{"What happened in case " + str(k) + ". " * 3}{"x" * k * 9}</p>
+<p>{note}</p><p>The end of {k} &amp; more</p>{more}</div><div class="teasers"><article>Teaser {k}</article></div><div class="legal">Imprint</div></body></html>"""
+
+
+def test_the_template_decides_what_an_element_holds(spark):
+    rows = [(k, f"http://n.example/{k}", site(k)) for k in range(8)]
+    got = {r.page_id: r.text for r in op.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k, _, page in rows:
+        want = [f"Story {k}", " ".join(("What happened in case " + str(k) + ". " * 3 + "x" * k * 9).split()), f"The end of {k} & more"]
+        assert got[k] == "\n".join(want)
+        assert op.main_text(op.parse(page)) == f"Teaser {k}"  # without a template the page says nothing better
+
+
+def test_names_that_only_contain_a_hint_stay():
+    page = '<article><p>A</p><div class="related-work">B</div><div class="side">C</div><p class="notice-board">D</p><div class="ad-hoc">E</div><math><mi>x</mi></math><noscript>F</noscript><object>G</object><div class="comments">no</div></article>'
+    assert op.main_text(op.parse(page)) == "A\nB\nC\nD\nE\nxF\nG"
+
+
+def test_every_layout_of_a_host_has_its_template(spark):
+    rows = [(k, "http://h.example/x", f"<body><section>Bar</section><div><p>One {k} of many {'y' * k}</p><p>Call us</p></div></body>") for k in range(5)]
+    rows += [(10 + k, "http://h.example/y", f"<body><main><p>Two {k} of many {'z' * k}</p><p>Write us</p></main><div class=x>Foot</div></body>") for k in range(4)]
+    got = {r.page_id: r.text for r in op.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"One {k} of many {'y' * k}".strip() for k in range(5)} | {10 + k: f"Two {k} of many {'z' * k}".strip() for k in range(4)}
+
+
+def test_near_copies_of_an_article_keep_what_they_share(spark):
+    shared = "<p>" + "This long paragraph stands in all near copies of the article. " * 4 + "</p>"
+    rows = [(k, f"http://c.example/{k}", f"<body><div><h1>Same title</h1>{shared}<p>Only {k}</p></div><section>{k}</section></body>") for k in range(6)]
+    got = op.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all("Same title\nThis long paragraph" in r.text and f"Only {r.page_id}" in r.text for r in got)
 
 
 @pytest.mark.parametrize("schema", ["page_id long, url string, html string"])
