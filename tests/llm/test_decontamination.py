@@ -62,3 +62,29 @@ def test_empty(spark, no_docs, odd_docs):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert run(no_docs, bench) == []
     assert all(r[2:] == (0, [], []) for r in run(odd_docs, bench))
+
+
+def test_long_items_are_searched_by_segment(spark, monkeypatch):
+    monkeypatch.setattr(op, "SEGMENT", 7)
+    rnd = random.Random(8)
+    items = [("a", " ".join(rnd.choices("abcdefghij", k=100))), ("b", "x y"), (None, "p q r s")]
+    docs = [(k, " ".join([*rnd.choices("abcdefghij", k=9), *items[0][1].split()[k * 7 : k * 7 + 16], "x", "y"])) for k in range(14)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    assert run(df, bench) == brute(docs, items, 10, 2)
+
+
+def test_a_large_benchmark_costs_the_driver_a_block(spark):
+    """Many blocks: what the driver's Python allocates stays near one block's bytes."""
+    import tracemalloc
+
+    from pyspark.sql import functions as F
+
+    words = F.transform(F.sequence(F.lit(1), F.lit(400)), lambda k: F.concat(F.lit("w"), F.pmod(F.xxhash64(F.col("id"), k), F.lit(5000))))
+    bench = spark.range(600).select(F.col("id").cast("string").alias("item_id"), F.array_join(words, " ").alias("text"))
+    docs = bench.where("item_id % 100 = 7").select(F.col("item_id").cast("long").alias("doc_id"), F.substring("text", 1, 700).alias("text"))
+    tracemalloc.start()
+    got = run(docs, bench, block_bytes=1 << 18)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(r[0], r[3]) for r in got] == sorted((str(k), [str(k)]) for k in range(7, 600, 100)) and peak < 8 << 18
