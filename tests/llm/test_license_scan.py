@@ -1,3 +1,6 @@
+import math
+import random
+import re
 import textwrap
 
 from tidemark.llm import license_scan as op
@@ -26,6 +29,64 @@ def test_model_and_calibration():
     assert m.probabilities("")[op.UNKNOWN] > 0.5
 
 
+# wordings that are not among the training notices, by hand
+LABELLED = [
+    ("This project is made available under the MIT License", "MIT"), ("Code: MIT license, docs: see below", "MIT"), ("The library is released under the terms of the MIT license.", "MIT"),
+    ("All code here is under the Apache License 2.0", "Apache-2.0"), ("This file is licensed to you under the Apache License, Version 2.0", "Apache-2.0"),
+    ("You can use it under the GNU General Public License v3", "GPL"), ("Distributed under the terms of the GNU General Public License as published by the Free Software Foundation", "GPL"),
+    ("Licensed under the GNU Lesser General Public License, version 2.1", "LGPL"), ("Released under the GNU Affero General Public License version 3", "AGPL"),
+    ("Available under the BSD 3-clause license", "BSD"), ("The code is under the BSD 2-Clause License.", "BSD"), ("Subject to the terms of the Mozilla Public License v. 2.0", "MPL-2.0"),
+    ("Text is available under CC BY 4.0", "CC-BY"), ("Images are licensed under CC BY-SA 4.0", "CC-BY-SA"), ("Shared under CC BY-NC 4.0 by the authors", "CC-BY-NC"), ("We release the data under CC0 1.0 Universal.", "CC0"),
+    ("Copyright 2021 Someone. All rights reserved.", "proprietary"), ("(c) The Company, all rights reserved", "proprietary"),
+    ("ISC License", None), ("This is free under the Boost Software License 1.0", None), ("zlib/libpng license", None), ("Eclipse Public License - v 2.0", None), ("CC BY-ND 4.0 applies", None), ("Shared under CC BY-NC-SA 4.0", None),
+    ("Some rights reserved by the authors.", None), ("Licensed under the Microsoft Public License", None), ("Released under the WTFPL license.", None), ("Licensed under the Beerware license, revision 42", None),
+    ("Her licence to teach was renewed in spring.", None), ("The committee reserved the right to refuse.", None), ("Permission to land was granted at noon.", None), ("The general public was free to enter.", None),
+    ("Students at MIT work with the public library.", None), ("A copyright lawyer spoke on source and form.", None), ("The software foundation met in Berlin.", None), ("We use version 2.0 of the form.", None),
+]
+
+
+def test_precision_and_recall_on_other_wordings():
+    m = op.trained()
+    found = []
+    for text, truth in LABELLED:
+        p = m.probabilities(text)
+        best = max(p, key=p.get)
+        found.append((truth, best if best != op.UNKNOWN and p[best] >= op.CERTAIN else None, text))
+    right = sum(a == b for a, b, _ in found if b)
+    assert right / sum(b is not None for _, b, _ in found) >= 0.95, [f for f in found if f[1] and f[0] != f[1]]
+    assert right / sum(a is not None for a, _, _ in found) >= 0.85, [f for f in found if f[0] and f[0] != f[1]]
+
+
+def test_outside_licences_are_unknown_and_never_confirmed(spark):
+    texts = [*op.OUTSIDE, *op.OUTSIDE_HELD, *(t for t, truth in LABELLED if truth is None)]
+    got = op.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert not [r.paragraph for r in got if r.family != op.UNKNOWN or r.confirmed]
+
+
+def test_logits_by_hand():
+    m = op.trained()
+    for text in [t for t, _ in LABELLED]:
+        words = "".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split()
+        grams = set(words) | {f"{a} {b}" for a, b in zip(words, words[1:])}
+        logits = [m.intercept[k] + sum(m.weights[g][k] for g in grams & set(m.weights)) for k in range(len(m.families))]
+        e = [math.exp(x / m.temperature) for x in logits]
+        p = m.probabilities(text)
+        assert all(abs(p[f] - x / sum(e)) < 1e-9 for f, x in zip(m.families, e, strict=True))
+
+
+def test_what_the_pattern_leaves_out_is_unknown_anyway(spark):
+    m, pattern = op.trained(), re.compile(op.trained().pattern())
+    lines = {x for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() for x in (r.text or "").split("\n")}
+    rnd = random.Random(2)
+    pool = sorted({w for g in m.weights for w in g.split()}) + ["tree", "house", "runs", "licenses", "submit", "cc1"]
+    lines |= {rnd.choice([" ", "-", ", ", "_"]).join(rnd.choices(pool, k=rnd.randint(1, 4))) for _ in range(3000)}
+    for line in lines:
+        assert bool(pattern.search(line)) == bool(set(op.ngrams_of(line)) & set(m.weights)), line
+        if not pattern.search(line):
+            p = m.probabilities(line)
+            assert max(p, key=p.get) == op.UNKNOWN
+
+
 def test_scan_equals_the_model(spark):
     texts = ["prose here\n" + t + "\n\nmore prose" for ts in CASES.values() for t in ts] + ["\n".join(PLAIN), None, "", "x " * 50000 + "All rights reserved.", CASES["MIT"][0]]
     rows = [(i, t, "f") for i, t in enumerate(texts)] + [(None, "MIT License", "f"), (0, texts[0], "f")]
