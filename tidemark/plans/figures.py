@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,10 +53,15 @@ def fig06_pead(summary: DataFrame) -> DataFrame:
 
 
 def fig07_continuation(aggregates: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """Shares of events whose drift went on, with exact limits; a few dozen rows."""
-    rows = aggregates.where("horizon_sessions > 0 and n_events > 0").collect()
-    found = [(r.scope, r.measure, r.horizon_sessions, r.n_continued, r.n_events, r.continuation_rate, *tails.clopper_pearson(r.n_continued, r.n_events, alpha)) for r in rows]
-    return aggregates.sparkSession.createDataFrame(found, "scope string, measure string, horizon_sessions int, n_continued long, n_events long, continuation_rate double, low double, high double")
+    """Shares of events whose drift went on, with exact limits, a row a cell."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            limits = [tails.clopper_pearson(int(k), int(n), alpha) for k, n in zip(pdf["n_continued"], pdf["n_events"], strict=True)]
+            yield pdf.assign(low=[x for x, _ in limits], high=[x for _, x in limits])
+
+    rows = aggregates.where("horizon_sessions > 0 and n_events > 0").select("scope", "measure", "horizon_sessions", "n_continued", "n_events", "continuation_rate")
+    return rows.mapInPandas(run, "scope string, measure string, horizon_sessions int, n_continued long, n_events long, continuation_rate double, low double, high double")
 
 
 def fig08_heatmap(events: DataFrame, cfg: StudyConfig, symbols: list[str]) -> DataFrame:

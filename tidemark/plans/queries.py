@@ -653,7 +653,7 @@ def _sens(hours: int, spark, sf_dir):
     return sensitivity.window_sweep(s.aligned, s.numbered, s.sess, C, (hours,), tests=False)
 
 
-for _h in (12, 72):
+for _h in C.sweep_hours:
     query(f"sens_window_{_h}h", _sweep_sql(_h))(partial(_sens, _h))
 
 
