@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources import scratch
+
 #: Bytes of text that a Python worker holds as words at one time; a single longer text is one chunk.
 CHUNK_BYTES = 1 << 20
 
@@ -27,76 +26,17 @@ _M64 = (1 << 64) - 1
 # ---------------------------------------------------------------- written tables
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir; a temporary one only where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    known = getattr(scratch_root, "own", None)
-    if known is None:
-        known = scratch_root.own = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        atexit.register(_forget, known)
-    return known
-
-
-def _forget(url: str) -> None:
-    import shutil
-
-    shutil.rmtree(url.removeprefix("file://"), ignore_errors=True)
-
-
-#: Tables that were written and not dropped yet, in order.
-_live: dict[str, SparkSession] = {}
-
-
-def write_scratch(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """Write ``df`` once to the shared folder; return the table read back and its path. This cuts lineage."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
-    _live[path] = spark
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    return write_scratch(df, label)[0]
-
-
-def written_last(df: DataFrame, label: str, since: int) -> DataFrame:
-    """``df`` written, and all tables of this driver dropped that were written after mark() gave ``since``: nothing else may read them."""
-    late = list(_live)[since:]
-    found = written(df, label)
-    for path in late:
-        drop_scratch(df.sparkSession, path)
-    return found
-
-
-def mark() -> int:
-    return len(_live)
-
-
-def drop_scratch(spark: SparkSession, path: str) -> None:
-    """Delete a table of write_scratch() that nothing reads any more."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-    _live.pop(path, None)
+written, written_last, mark, write_scratch, drop_scratch, table_bytes = scratch.written, scratch.written_last, scratch.mark, scratch.write, scratch.drop, scratch.size
 
 
-def table_bytes(spark: SparkSession, path: str) -> int:
-    """The size of a written table, which the file system knows."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return int(hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(hadoop).getLength())
+#: The most bytes of a written table that are sent to all executors.
+BROADCAST_BYTES = 8 << 20
 
 
-@atexit.register
-def drop_all() -> None:
-    """Delete what is left when the driver ends; results read their tables until then."""
-    for path, spark in list(_live.items()):
-        if spark._sc._gateway is not None and spark._sc._jvm is not None:
-            try:
-                drop_scratch(spark, path)
-            except Exception:  # noqa: BLE001 - the JVM may be gone before the driver's Python
-                return
+def written_side(df: DataFrame, label: str) -> DataFrame:
+    """The table written, to be one side of a join: sent out whole if it turned out small, else joined as Spark sees fit."""
+    table, path = write_scratch(df, label)
+    return F.broadcast(table) if table_bytes(df.sparkSession, path) <= BROADCAST_BYTES else table
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -91,7 +91,7 @@ def earlier_neighbours(distinct: DataFrame, lines: DataFrame) -> DataFrame:
     suspects = keys.join(shared, F.col("half") == F.col("half2"), "left_semi")
     suspects = suspects.groupBy(*_LINE, "first").agg(F.max(F.col("side") % 2 == 0).alias("head_shared"), F.max(F.col("side") % 2 == 1).alias("tail_shared"))
     named = suspects.select(*(F.col(c).alias(f"s_{c}") for c in _LINE), "first", "head_shared", "tail_shared")
-    named = common.written(named, "suspects")  # a table of known size: Spark sends it out if it is small, else joins by sorting
+    named = common.written_side(named, "suspects")
     on = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th")) & (F.col("line_no") == F.col("first.line_no")) & (F.xxhash64("line") == F.col("s_h1"))
     texts = lines.join(named, on).select(*(F.col(f"s_{c}").alias(c) for c in _LINE), "first", "head_shared", "tail_shared", "line").dropDuplicates(list(_LINE))
     texts = common.written(texts, "suspect-lines")
@@ -127,7 +127,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", near_chars: int = NEA
         near = earlier_neighbours(distinct, lines).select(*(F.col(c).alias(f"n_{c}") for c in _LINE), "earliest")
         least = distinct.join(near, [F.col(c) == F.col(f"n_{c}") for c in _LINE], "left").where("n > 1 or earliest is not null").select(*_LINE, F.least("first", "earliest").alias("stays"))
     least = least.select(*(F.col(c).alias(f"d_{c}") for c in _LINE), "stays")
-    least = common.written(least, "kept-lines")  # a scan on either side lets Spark split the occurrences of a hot line
+    least = common.written_side(least, "kept-lines")  # a scan on either side lets Spark split the occurrences of a hot line
     gone = hashed.join(least, [F.col(c) == F.col(f"d_{c}") for c in _LINE]).where(_place() > F.col("stays"))
     gone = gone.groupBy(F.col("id").alias("rid__"), F.col("th").alias("rth__")).agg(F.collect_set("line_no").alias("gone__"))
     return common.written_last(gone, "gone-lines", since)
