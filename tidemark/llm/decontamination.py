@@ -1,7 +1,8 @@
 """Benchmark decontamination with a stored positional inverted index that is distributed by document.
 
-The index is written once: every row is a shard, the documents of about ``SHARD_BYTES`` of text, with the postings of all their
-terms: the terms' 64-bit hashes in order, how often each occurs, and their positions. A search reads only this table.
+The index is written once: every row is a shard, the documents of about ``SHARD_BYTES`` of text, with the postings of their
+terms: the terms' 64-bit hashes in order, how often each occurs, and their positions. Terms that no benchmark item has are
+never looked up and leave by a bit map of ``FILTER_BITS`` bits, which may let others pass too. A search reads only this table.
 
 A window of benchmark words is searched in a shard from its rarest term there, since the shard's lists are what is intersected:
 that term's positions, moved back by the term's offset, are the candidate starts; they are intersected with the
@@ -42,6 +43,9 @@ BLOCK_BYTES, SHARD_BYTES = 4 << 20, 1 << 20
 #: Candidate starts, and windows, that a search holds at one time.
 CANDIDATES, WINDOWS = 1 << 18, 1 << 16
 
+#: Bits of the map of benchmark terms.
+FILTER_BITS = 1 << 23
+
 #: Words of a benchmark segment.
 SEGMENT = 1 << 15
 
@@ -76,10 +80,36 @@ def _gap(window: int, slack: int) -> int:
     return 2 * window + 4 * slack + 2
 
 
-def build_index(docs: DataFrame, keep: tuple[str, ...], window: int = WINDOW, slack: int = SLACK) -> DataFrame:
+def term_filter(segments: DataFrame) -> np.ndarray:
+    """The bit map of the terms of segments: ``FILTER_BITS`` bits, whatever the benchmark's size."""
+    mask = FILTER_BITS - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(FILTER_BITS, bool)
+        for batch in batches:
+            for tokens in batch.column(0):
+                seen[np.frombuffer(tokens.as_buffer(), "<i8") & mask] = True
+        words = np.packbits(seen, bitorder="little").view("<i8")
+        at = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(words[at], pa.int64())], names=["at", "bits"])
+
+    found = segments.select("tokens").mapInArrow(run, "at int, bits long").groupBy("at").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()  # bounded by the map
+    words = np.zeros(FILTER_BITS // 64, np.int64)
+    words[found.column("at").to_numpy()] = found.column("bits").to_numpy()
+    return words
+
+
+def _has_bit(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes & (FILTER_BITS - 1)
+    return (words[at >> 6] >> (at & 63)) & 1 == 1
+
+
+def build_index(docs: DataFrame, keep: tuple[str, ...], wanted: np.ndarray, window: int = WINDOW, slack: int = SLACK) -> DataFrame:
     """(shard, docs, terms, counts, positions), written: ``docs`` are the rows' ``keep`` columns with their first position and
-    number of words, the rest are little-endian arrays."""
-    common.small_batches(docs.sparkSession)
+    number of words, the rest are little-endian arrays, of the terms that the bit map ``wanted`` has."""
+    spark = docs.sparkSession
+    common.small_batches(spark)
+    sent = spark.sparkContext.broadcast(wanted)
     gap = _gap(window, slack)
     fields = [*(docs.schema[c] for c in keep), StructField("first__", IntegerType()), StructField("n_words__", LongType())]
     source = "text" if "text" in keep else "text__"
@@ -91,9 +121,10 @@ def build_index(docs: DataFrame, keep: tuple[str, ...], window: int = WINDOW, sl
             terms, row = terms_of(batch.column(batch.schema.get_field_index(source)))
             n_words = np.bincount(row, minlength=batch.num_rows)
             first = np.cumsum(n_words) - n_words + (np.arange(batch.num_rows) + 1) * gap
-            order = np.argsort(terms, kind="stable")
-            distinct, counts = np.unique(terms, return_counts=True)
-            places = (np.arange(len(terms)) + (row + 1) * gap)[order]
+            at = np.flatnonzero(_has_bit(sent.value, terms))
+            at = at[np.argsort(terms[at], kind="stable")]
+            distinct, counts = np.unique(terms[at], return_counts=True)
+            places = at + (row[at] + 1) * gap
             kept = [*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(first, pa.int32()), pa.array(n_words, pa.int64())]
             docs_of = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), pa.StructArray.from_arrays(kept, names=[*keep, "first__", "n_words__"]))
             blobs = [pa.array([x.tobytes()], pa.binary()) for x in (distinct.astype("<i8"), counts.astype("<i4"), places.astype("<i4"))]
@@ -290,8 +321,8 @@ def _merged(hits: DataFrame) -> DataFrame:
 def annotate(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), window: int = WINDOW, slack: int = SLACK, block_bytes: int = BLOCK_BYTES, prefix: str = "") -> DataFrame:
     """``keep`` and, their names after ``prefix``, ``n_words``, ``hit_runs`` (word numbers first, end, ...), ``items`` and ``near_items`` (sorted ids)."""
     spark = docs.sparkSession
-    index = build_index(docs, keep, window, slack)
     segments, segments_path = common.write_scratch(_segments(benchmark, window), "benchmark-segments")
+    index = build_index(docs, keep, term_filter(segments), window, slack)
     total = segments.agg(F.sum(F.length("tokens"))).first()[0] or 0
     blocks = -(-total // block_bytes)
     hits, path = common.write_scratch(spark.createDataFrame([], HITS), "hits")
@@ -300,7 +331,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("do
         _search(index, [(r.item, bytes(r.tokens)) for r in mine.collect()], window, slack, path)
     common.drop_scratch(spark, segments_path)
     hits = _merged(spark.read.schema(hits.schema).parquet(path))
-    hits = common.written(hits, "document-hits")  # few rows, of known size: Spark sends them out if they are small
+    hits = common.written_side(hits, "document-hits")
     common.drop_scratch(spark, path)
     rows = index.select("shard", F.posexplode("docs").alias("doc", "d"))
     rows = rows.join(hits, (F.col("shard") == F.col("h_shard")) & (F.col("doc") == F.col("h_doc")), "left")
