@@ -425,27 +425,29 @@ def _skeletons(pages: DataFrame) -> DataFrame:
 
 
 def _matched(rows: DataFrame) -> DataFrame:
-    """(host, layout, node, text, n, chars) summed by batch: on how many pages a text stands at a reference node, and its
-    characters; text 0 counts the pages that have the node. Rows have a skeleton's columns and ``reference``."""
+    """(layout_id, node, text, n, chars) summed by batch: on how many pages a text stands at a reference node, and its
+    characters; text 0 counts the pages that have the node and the characters of all its texts. Rows have a skeleton's columns,
+    ``reference`` and ``layout_id``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pages, chars = Counter(), Counter()
-            for host, layout, lines, nodes, hashes, sizes, reference in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+            for key, lines, nodes, hashes, sizes, reference in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
                 same = align(lines, reference)
-                pages.update((host, layout, y, 0) for y in same.values())
+                pages.update((key, y, 0) for y in same.values())
                 here = set()
                 for x, text, size in zip(nodes, hashes, sizes, strict=True):
                     if x in same:
-                        key = host, layout, same[x], text
-                        here.add(key)
-                        chars[key] += size
+                        y = same[x]
+                        here.add((key, y, text))
+                        chars[key, y, text] += size
+                        chars[key, y, 0] += size
                 pages.update(here)
             keys = list(pages)
-            columns = [pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int32(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([pages[k] for k in keys], pa.int64()), pa.array([chars[k] for k in keys], pa.int64())], names=["host", "layout", "node", "text", "n", "chars"])
+            columns = [pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([pages[k] for k in keys], pa.int64()), pa.array([chars[k] for k in keys], pa.int64())], names=["layout_id", "node", "text", "n", "chars"])
 
-    return rows.mapInArrow(run, "host string, layout long, node int, text long, n long, chars long")
+    return rows.mapInArrow(run, "layout_id long, node int, text long, n long, chars long")
 
 
 def _with_content(templates: DataFrame) -> DataFrame:
@@ -472,15 +474,20 @@ def induce(pages: DataFrame, least_pages: int = LEAST_PAGES, constant: float = C
     distinct = common.written(distinct.select(*key, "r.*"), "skeletons")
     shapes = distinct.groupBy(*key, "lines").agg(F.count("*").alias("n"))
     reference = shapes.groupBy(*key).agg(F.min_by("lines", F.struct(-F.col("n"), "lines")).alias("reference"), F.sum("n").alias("pages")).where(F.col("pages") >= least_pages)
-    reference = common.written(reference.select(F.col("host").alias("r_host"), F.col("layout").alias("r_layout"), "reference"), "references")
-    joined = distinct.join(reference, (F.col("host") == F.col("r_host")) & (F.col("layout") == F.col("r_layout"))).select(*key, "lines", "nodes", "hashes", "sizes", "reference")
-    counts = common.written(_matched(joined).groupBy(*key, "node", "text").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars")), "node-texts")
-    have = common.written(counts.where("text = 0").select(*(F.col(c).alias(f"h_{c}") for c in (*key, "node")), F.col("n").alias("have")), "nodes")
-    fixed = (F.col("n") >= least_pages) & (F.col("n") >= constant * F.col("have"))
-    nodes = counts.where("text <> 0").join(have, [F.col(c) == F.col(f"h_{c}") for c in (*key, "node")]).groupBy(*key, "node").agg(F.sum(F.when(fixed, 0).otherwise(F.col("chars"))).alias("mass"), F.collect_list(F.when(fixed, F.col("text"))).alias("texts"))
-    nodes = nodes.groupBy(*key).agg(F.collect_list(F.struct("node", "mass", "texts")).alias("nodes"))
-    templates = nodes.join(reference, (F.col("host") == F.col("r_host")) & (F.col("layout") == F.col("r_layout"))).select(*key, F.col("reference").alias("lines"), "nodes")
-    return common.written_last(_with_content(templates), "templates", since)
+    names = [F.col("host").alias("r_host"), F.col("layout").alias("r_layout")]
+    reference = common.written_side(reference.select(*names, "reference", F.xxhash64("host", "layout").alias("layout_id")), "references")
+    joined = distinct.join(reference, (F.col("host") == F.col("r_host")) & (F.col("layout") == F.col("r_layout"))).select("layout_id", "lines", "nodes", "hashes", "sizes", "reference")
+    counts = _matched(joined).groupBy("layout_id", "node", "text").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"))
+    counts = common.written(counts.where((F.col("text") == 0) | (F.col("n") >= least_pages)), "node-texts")  # a template text stands on as many
+    every = counts.where("text = 0").select(F.col("layout_id").alias("e_id"), F.col("node").alias("e_node"), F.col("n").alias("have"), F.col("chars").alias("total"))
+    seen = counts.where("text <> 0").withColumnsRenamed({"layout_id": "s_id", "node": "s_node"})
+    fixed = F.col("n") >= constant * F.col("have")
+    nodes = every.join(seen, (F.col("e_id") == F.col("s_id")) & (F.col("e_node") == F.col("s_node")), "left").groupBy("e_id", "e_node").agg(
+        (F.first("total") - F.sum(F.when(fixed, F.col("chars")).otherwise(0))).alias("mass"), F.collect_list(F.when(fixed, F.col("text"))).alias("texts")
+    )
+    nodes = nodes.groupBy("e_id").agg(F.collect_list(F.struct(F.col("e_node").alias("node"), "mass", "texts")).alias("nodes"))
+    templates = nodes.join(reference, F.col("e_id") == F.col("layout_id")).select("r_host", "r_layout", F.col("reference").alias("lines"), "nodes")
+    return common.written_last(_with_content(templates), "induced", since)
 
 
 def _with_layout(pages: DataFrame) -> DataFrame:
@@ -496,7 +503,7 @@ def _with_layout(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, constant: float = CONSTANT) -> DataFrame:
     """``page_id``, ``url`` and ``text`` of every page."""
     common.small_batches(pages.sparkSession)
-    templates = induce(pages, least_pages, constant)
+    templates = common.written_side(induce(pages, least_pages, constant), "templates")
     keyed = _with_layout(pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host")))
     rows = keyed.join(templates, (F.col("host") == F.col("t_host")) & (F.col("layout") == F.col("t_layout")), "left").select("page_id", "url", "html", "lines", "content", "at", "texts")
 
