@@ -13,7 +13,7 @@ def test_round_trip_merge_and_loss(spark):
     for conv in range(80):
         for turn in range(rnd.randint(1, 9)):
             text = "".join(rnd.choices(PIECES, k=rnd.randint(0, 8)))
-            rows.append((conv if conv else None, rnd.choice([turn, None]) if conv % 9 == 4 else turn, rnd.choice(["user", "assistant", "assistant", "odd: <role>\n\\b", None]), rnd.choice([text, text, None])))
+            rows.append((conv, rnd.choice([turn, None]) if conv % 9 == 4 else turn, rnd.choice(["user", "assistant", "assistant", "odd: <role>\n\\b", None]), rnd.choice([text, text, None])))
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("segments", F.lit(1)).withColumn("formatted", F.lit("x"))
     got = op.format_chats(df).select("conv_id", "segments", "formatted", op.read_turns(F.col("formatted")).alias("turns"), op.learned_text(F.col("segments")).alias("learned")).collect()
     want = {}
@@ -29,6 +29,13 @@ def test_round_trip_merge_and_loss(spark):
         assert r.formatted.count("</turn>") == changes and r.formatted.count("</part>") == len(turns) - changes
 
 
+def test_rows_without_a_conversation_stand_alone(spark):
+    rows = [(None, 1, "user", "a"), (None, 1, "user", "a"), (None, 2, "assistant", None), (3, 1, "user", "b"), (3, 1, "user", "b")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = sorted((str(r.conv_id), r.formatted) for r in op.format_chats(df).collect())
+    assert got == [("3", "### user: b</part>b</turn>\n"), ("None", "### assistant: </turn>\n"), ("None", "### user: a</turn>\n"), ("None", "### user: a</turn>\n")]
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert op.format_chats(df).count() == 0

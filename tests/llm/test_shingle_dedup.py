@@ -3,7 +3,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from tidemark.llm import shingle_dedup as op
+from tidemark.llm import simhash_dedup
 
 
 def grams(text, k=5):
@@ -61,5 +61,18 @@ def test_stage_finds_all_near_copies(spark, near_rows, odd_docs):
     assert len(brute_kept(near_rows)) < len({frozenset(grams(t)) for _, t in near_rows})
 
 
+def test_other_bounds_and_string_ids(spark, near_rows):
+    docs = spark.createDataFrame([(f"d{i:03}", t) for i, t in near_rows], "doc_id string, text string")
+    for percent in (50, 100):
+        sets = [grams(t) for _, t in near_rows]
+        top = list(range(len(sets)))
+        for a in range(len(sets)):
+            for b in range(a):
+                if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                    top = [top[b] if x == top[a] else x for x in top]
+        want = sorted({min(f"d{k:03}" for k in range(len(top)) if top[k] == r) for r in set(top)})
+        assert sorted(r.doc_id for r in simhash_dedup.deduplicated(docs, shingle=5, percent=percent).collect()) == want
+
+
 def test_empty(no_docs):
-    assert op.deduplicated(no_docs).count() == 0
+    assert simhash_dedup.deduplicated(no_docs, shingle=5, percent=80).count() == 0

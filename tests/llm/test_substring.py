@@ -30,5 +30,29 @@ def test_real_documents(spark, sf_dir):
     assert sum(x[2] for x in want) > 0
 
 
+def test_string_ids_and_rows_without_an_id(spark):
+    passage = " ".join(f"p{k}" for k in range(40))
+    rows = [("a", passage), ("b", "x " + passage + " y"), ("b", "another text of this id"), (None, " ".join(f"n{k}" for k in range(50)))]
+    rows += [(None, f"{passage} tail {k}") for k in range(3)] + [(None, "short"), (None, None), ("c", "")]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id string, text string, th int")
+    got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_text) for r in op.deduplicated(docs).collect())
+    assert got == brute(rows, 35)
+
+
+def test_rows_whose_short_hashes_clash_keep_their_own_spans(spark):
+    """Two texts without an id and with equal 32-bit hashes: only one of them is repeated elsewhere."""
+    from pyspark.sql import functions as F
+
+    head = " ".join(f"w{k}" for k in range(40))
+    many = spark.range(300_000).select(F.col("id"), F.concat(F.lit(head + " "), F.col("id").cast("string")).alias("text"))
+    pair = many.groupBy(F.hash("text").alias("h")).agg(F.min("text").alias("a"), F.max("text").alias("b"), F.count("*").alias("n")).where("n > 1").first()
+    assert pair is not None
+    one, two = pair.a, " ".join(reversed(pair.b.split()))
+    rows = [(None, one), (None, pair.b), (None, two), ("k", one)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_text) for r in op.deduplicated(docs).collect())
+    assert got == brute(rows, 35)
+
+
 def test_empty(no_docs):
     assert op.deduplicated(no_docs).count() == 0

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tidemark.llm import common
+from tidemark.llm import common, shingle_dedup
 from tidemark.llm.components import components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 2, 3, 42
@@ -169,11 +169,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", radius: int = RADIU
     return marked.join(by_fp, F.col("fp") == F.col("fp_k"), "left").select(id_col, *keep, "fp", "component_id", "root")
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row of ``docs`` for each component: that with its least id (null last); of rows alike in id and text, one."""
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", shingle: int = SHINGLE, radius: int = RADIUS, percent: int | None = None) -> DataFrame:
+    """One row of ``docs`` for each component: that with its least id (null last); of rows alike in id and text, one.
+
+    Documents link by fingerprints within ``radius`` bits; with ``percent``, by that Jaccard similarity of their sets of
+    shingles instead, which no radius can promise (see ``shingle_dedup``).
+    """
     own_hash = F.xxhash64("text")
-    marked = near_duplicates(docs.select(id_col, "text", own_hash.alias("text_hash")), id_col, keep=("text_hash",))
-    winner = marked.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("text_hash").alias("th"))).alias("w"))
+    if percent is None:
+        marked = near_duplicates(docs.select(id_col, "text", own_hash.alias("th")), id_col, radius, shingle, keep=("th",)).withColumnRenamed(id_col, "id")
+    else:
+        marked = shingle_dedup.near_copies(docs.select(id_col, "text"), id_col, shingle, percent)
+    winner = marked.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "th")).alias("w"))
     winner = winner.select(F.col("w.id").alias("won_id__"), F.col("w.th").alias("won_hash__")).distinct()
+    winner = common.written_side(winner, "winners")  # a scan on either side lets Spark split a hot id
     kept = docs.join(winner, F.col(id_col).eqNullSafe(F.col("won_id__")) & (own_hash == F.col("won_hash__")), "left_semi")
-    return kept.withColumn("own_hash__", F.xxhash64("text")).dropDuplicates([id_col, "own_hash__"]).drop("own_hash__")
+    return kept.withColumn("own_hash__", own_hash).dropDuplicates([id_col, "own_hash__"]).drop("own_hash__")
