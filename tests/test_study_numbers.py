@@ -225,8 +225,10 @@ def least_squares(e, column, block):
     scores = np.array([(x[at] * resid[at, None]).sum(0) for at in kept.reset_index().groupby(block).indices.values()])
     k, n, w = len(scores), len(y), x.shape[1]
     cov = inv @ scores.T @ scores @ inv * (k / (k - 1)) * ((n - 1) / (n - w))
-    q_ = len(gs) - 1
-    return b[1 : q_ + 1] @ np.linalg.solve(cov[1 : q_ + 1, 1 : q_ + 1], b[1 : q_ + 1]) / q_, q_, k - 1, n, 1 - resid @ resid / ((y - y.mean()) ** 2).sum()
+    size, turn = np.linalg.eigh(cov[1 : len(gs), 1 : len(gs)])
+    there = size > 1e-9 * size.max()  # a subject with one event has no error
+    along = turn[:, there].T @ b[1 : len(gs)]
+    return (along**2 / size[there]).sum() / there.sum(), there.sum(), k - 1, n, 1 - resid @ resid / ((y - y.mean()) ** 2).sum()
 
 
 def test_st_clustered_ols(spark, events):

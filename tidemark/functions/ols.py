@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from tidemark.functions import tails
 
 
+#: Share of the largest singular value below which a direction counts as none.
+SINGULAR = 1e-9
+
+
 def clustered_ols(rows: DataFrame, y: str, group: str, fixed: str, cluster: str) -> dict[str, float]:
     """y on dummies of ``group`` and ``fixed``: joint F of the group terms with errors clustered by ``cluster``.
 
@@ -43,8 +47,9 @@ def clustered_ols(rows: DataFrame, y: str, group: str, fixed: str, cluster: str)
         scores[r.c] = scores.get(r.c, 0) + (r.sy - r.n * (x @ beta)) * x
     k, m = len(scores), np.array(list(scores.values()))
     cov = inverse @ (m.T @ m) @ inverse * (k / (k - 1)) * ((n - 1) / (n - width))
-    q = len(gs) - 1
-    b = beta[1 : q + 1]
-    f_value = float(b @ np.linalg.solve(cov[1 : q + 1, 1 : q + 1], b) / q)
+    b, cov = beta[1 : len(gs)], cov[1 : len(gs), 1 : len(gs)]
+    # a group with one row has no error of its own: as many terms are tested as the covariance has directions
+    q = int(np.linalg.matrix_rank(cov, tol=SINGULAR * np.linalg.norm(cov, 2), hermitian=True))
+    f_value = float(b @ np.linalg.pinv(cov, rcond=SINGULAR, hermitian=True) @ b / q)
     rss = syy - beta @ xty
     return {"F": f_value, "df1": q, "df2": k - 1, "p": tails.f_sf(f_value, q, k - 1), "n": n, "r_squared": float(1 - rss / (syy - sy * sy / n))}
