@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.config import ANNOUNCEMENTS_FILE
 from tidemark.config import HOURLY as C
 from tidemark.functions import ols, ranks, resample, tails
-from tidemark.operators import align, cluster, impact, panel, quality, sessions, taxonomy
+from tidemark.operators import cluster, impact, panel, quality, sessions, taxonomy
 from tidemark.operators.asof import asof_join
 from tidemark.plans import drift, figures, pead, sensitivity, summary
 from tidemark.plans import oracles as o

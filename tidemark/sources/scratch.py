@@ -45,13 +45,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return write(df, label)[0]
 
 
-def mark() -> int:
-    return len(_live)
+def mark() -> frozenset[str]:
+    """The folders that there are now."""
+    return frozenset(_live)
 
 
-def written_last(df: DataFrame, label: str, since: int) -> DataFrame:
+def written_last(df: DataFrame, label: str, since: frozenset[str]) -> DataFrame:
     """``df`` written, and all folders dropped that were made after mark() gave ``since``: nothing else may read them."""
-    late = list(_live)[since:]
+    late = [path for path in _live if path not in since]
     found = written(df, label)
     for path in late:
         drop(df.sparkSession, path)
