@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tidemark.llm import common, decontamination, quality_model, quality_rules, substring_dedup
+from tidemark.llm import common, quality_model, quality_rules, substring_dedup
 
 SIZE = 20 << 20
 

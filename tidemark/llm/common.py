@@ -20,9 +20,6 @@ SLICE_BYTES = 1 << 18
 #: Rows that Spark puts in one Arrow batch for a Python worker; few, since any of them may be very long.
 BATCH_ROWS = 256
 
-_M64 = (1 << 64) - 1
-
-
 # ---------------------------------------------------------------- written tables
 
 
