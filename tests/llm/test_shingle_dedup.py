@@ -1,9 +1,11 @@
 import random
+import time
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from tidemark.llm import simhash_dedup
+from tidemark.llm import shingle_dedup, simhash_dedup
 
 
 def grams(text, k=5):
@@ -76,3 +78,60 @@ def test_other_bounds_and_string_ids(spark, near_rows):
 
 def test_empty(no_docs):
     assert simhash_dedup.deduplicated(no_docs, shingle=5, percent=80).count() == 0
+
+
+def test_common_passages_cost_no_disk(spark, monkeypatch):
+    """What the sample of a large table misses makes few pairs, unlike sets are told apart before texts are read, shuffle files go."""
+    rnd = random.Random(4)
+    passage = [f"p{i}" for i in range(25)]
+    rows = [(i, " ".join([f"w{rnd.randrange(10**6)}" for _ in range(60)] + passage)) for i in range(300)]
+    rows += [(1000, rows[7][1] + " end"), (1001, None)]
+    pairs, sets = [], []
+    agreeing, whole = shingle_dedup._agreeing, shingle_dedup._whole
+
+    def counted(found, *rest):
+        pairs.append(found.distinct().count())
+        return agreeing(found, *rest)
+
+    def made(texts, key, shingle):
+        sets.append(texts.count() if key == "set" else 0)
+        return whole(texts, key, shingle)
+
+    monkeypatch.setattr(shingle_dedup, "SAMPLE", 1)
+    monkeypatch.setattr(shingle_dedup, "_agreeing", counted)
+    monkeypatch.setattr(shingle_dedup, "_whole", made)
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    written, write = [], shingle_dedup.common.written_last
+
+    def shuffles():
+        return {name for f in files.getAllFiles().mkString("\n").split("\n") if (name := f.rsplit("/", 1)[-1]).startswith("shuffle_")}
+
+    before = shuffles()
+
+    def looked(*args):
+        until = time.time() + 20
+        while (left := len(shuffles() - before - known)) > 0 and time.time() < until:
+            time.sleep(0.2)
+        written.append(left)
+        return write(*args)
+
+    known = set()  # files of this test's own counts
+    monkeypatch.setattr(shingle_dedup.common, "written_last", looked)
+    got = shingle_dedup.near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    roots = {r.id: r.root for r in got.collect()}
+    assert len(set(roots.values())) == 301 and roots[7] == roots[1000]
+    assert sum(pairs) <= 300 and sum(sets) <= 10
+    assert written == [0]
+
+
+def test_sketches_bound_the_difference():
+    rnd = np.random.default_rng(3)
+    a = np.unique(rnd.integers(0, 2**64, 300, np.uint64))
+    for size, kept in ((0, 0), (10, 3), (300, 300), (300, 290), (310, 280), (900, 200), (64, 0)):
+        b = np.union1d(a[:kept], rnd.integers(0, 2**64, size - kept, np.uint64)) if size else a[:0]
+        n = np.array([len(a), len(b)])
+        one, two = shingle_dedup._sketches(np.repeat([0, 1], n), np.concatenate([a, b]), n).to_pylist()
+        assert len(one) == 64 and 8 * len(two) >= max(64, len(b))
+        differing = shingle_dedup._differing(one, two)
+        assert differing == shingle_dedup._differing(two, one) <= len(np.setxor1d(a, b))
+        assert kept or not size or differing > 16
