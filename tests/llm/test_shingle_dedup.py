@@ -135,3 +135,26 @@ def test_sketches_bound_the_difference():
         differing = shingle_dedup._differing(one, two)
         assert differing == shingle_dedup._differing(two, one) <= len(np.setxor1d(a, b))
         assert kept or not size or differing > 16
+
+
+def test_simhash_nominates_first(spark, monkeypatch):
+    """The operator's fingerprints of five words go through its covering tables, and its links are the first that are compared."""
+    words = [f"v{i}" for i in range(600)]
+    near = next(t for k in range(590) if 0 < (simhash_dedup.fingerprint(t := " ".join(words[:k] + ["other"] + words[k + 1 :]).encode(), 5) ^ simhash_dedup.fingerprint(" ".join(words).encode(), 5)).bit_count() <= 2)
+    rows = [(1, " ".join(words)), (2, near.decode()), (3, " ".join(words[:490])), (4, "something else here"), (5, None), (None, "VERY short")]
+    seen, rounds = [], []
+    covering, linked = simhash_dedup.covering_links, shingle_dedup._linked
+    monkeypatch.setattr(simhash_dedup, "covering_links", lambda distinct, *rest: seen.extend(r.fp for r in distinct.collect()) or covering(distinct, *rest))
+
+    def recorded(*args):
+        found = linked(*args)
+        rounds.append({frozenset((r.a, r.b)) for r in found.collect()})
+        return found
+
+    monkeypatch.setattr(shingle_dedup, "_linked", recorded)
+    got = shingle_dedup.near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(f & (2**64 - 1) for f in seen) == sorted(simhash_dedup.fingerprint((t or "").encode(), 5) for _, t in rows)
+    _, path = shingle_dedup.common.write_scratch(got, "roots")
+    root = {r.id: r.root for r in spark.read.parquet(path).collect()}
+    assert root[1] == root[2] == root[3] and len(set(root.values())) == 4
+    assert len(rounds[0]) == 1 and any(rounds[1:])

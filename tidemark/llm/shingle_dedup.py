@@ -1,18 +1,20 @@
-"""The near-duplicate operator at a given similarity: sets of word shingles by their exact Jaccard similarity.
+"""The near-duplicate operator at a given similarity: SimHash first, then what no radius of fingerprints can promise.
 
-No Hamming radius of a 64-bit fingerprint is sure to hold all pairs of a given similarity, so candidates come from the sets;
-no pair at the bound or above is lost:
+The covering tables of ``simhash_dedup`` nominate sets of word shingles by their fingerprints, and an exact Jaccard comparison
+decides. No Hamming radius of a 64-bit fingerprint is sure to hold all pairs of a given similarity, so the sets that SimHash left
+apart are then searched by a prefix filter, which loses no pair at the bound or above:
 
 1. A text's set is the 64-bit hashes of its runs of ``SHINGLE`` words, A-Z lower-cased; a shorter text is one run. Texts with
    equal sets are one row from here on.
-2. Two sets of similarity t or more share at least t of the larger, so in any one order of all shingles they share one of
+2. Sets whose fingerprints are equal or met in a covering table are compared; those similar become components.
+3. Two sets of similarity t or more share at least t of the larger, so in any one order of all shingles they share one of
    the first n - ceil(t n) + 1 of each, and the places of their first common one bound what they can share. The order puts the
    shingles that a fixed share of the documents repeats last, the most repeated at the end, so that common passages hardly make
    candidates however large the table is; the sample has no effect on what is found.
-3. Each set is compared with the least set that it shares such a shingle with, which makes a large group of near copies one
+4. Each set is compared with the least set that it shares such a shingle with, which makes a large group of near copies one
    component by as many pairs as it has members; then sets are compared with the least of each shingle, and at last all pairs
    that share one, always only those that still lie in different components.
-4. Before texts are read again, two sets are compared by parities: each shingle turns over one bit of a sketch of about as many
+5. Before texts are read again, two sets are compared by parities: each shingle turns over one bit of a sketch of about as many
    bits as the set has shingles, so sketches differ in no more bits than the sets in shingles. Pairs whose sketches differ in
    more than similar sets may are dropped; for the others the sets are made again from the texts, in whole.
 
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm import common
+from tidemark.llm import common, simhash_dedup
 from tidemark.llm.components import components
 
 #: Words of a shingle, and the similarity of near copies in percent.
@@ -167,6 +169,19 @@ def _agreeing(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def _nominated(source: DataFrame, marked: DataFrame, shingle: int) -> DataFrame:
+    """Pairs of sets (a, b) by SimHash: those of one fingerprint with the least of them, and the least of linked fingerprints."""
+    fps = simhash_dedup.fingerprints(source, ("id", "th"), shingle).select(F.col("id").alias("id2"), F.col("th").alias("th2"), "fp").distinct()
+    held = marked.distinct().join(fps, F.col("id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2"))).select("set", "fp").distinct()
+    held = common.written(held, "set-fingerprints")
+    least = common.written(held.groupBy("fp").agg(F.min("set").alias("first")), "distinct-fingerprints")
+    one, two = (least.select(F.col("fp").alias(f"{x}_fp"), F.col("first").alias(f"{x}_set")) for x in "ab")
+    links = simhash_dedup.covering_links(least.select("fp")).distinct()
+    across = links.join(one, F.col("a") == F.col("a_fp")).join(two, F.col("b") == F.col("b_fp")).select(F.col("a_set").alias("a"), F.col("b_set").alias("b"))
+    within = held.join(one, F.col("fp") == F.col("a_fp")).select(F.col("a_set").alias("a"), F.col("set").alias("b"))
+    return across.union(within).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
     """The pairs (a, b) that the links do not connect yet."""
     roots = common.written(components(links), "roots-so-far")
@@ -220,6 +235,9 @@ def _near_copies(docs: DataFrame, id_col: str, shingle: int, percent: int) -> Da
     common.drop_scratch(spark, full_path)
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64("text").alias("th"), "text")
 
+    # SimHash first; what follows finds the pairs beyond its radius
+    links = _linked(_nominated(source, marked, shingle), sets, marked, source, shingle, percent)
+
     tokens = sets.select("set", "n", F.posexplode("prefix").alias("at", "g"))
     same = Window.partitionBy("g")
     met = tokens.select("g", F.struct("n", "set", "at").alias("x")).select("g", "x", F.min("x").over(same).alias("least"), F.max("x").over(same).alias("most"))
@@ -228,7 +246,7 @@ def _near_copies(docs: DataFrame, id_col: str, shingle: int, percent: int) -> Da
     # one partner for each set first: a large group of near copies becomes one component by as many pairs as it has members
     met = members.where((F.col("x.set") != F.col("least.set")) & _possible("least", "x", percent))
     nearest = met.groupBy(F.col("x.set").alias("b")).agg(F.min("least").alias("l")).select(F.col("l.set").alias("a"), "b")
-    links = _linked(nearest, sets, marked, source, shingle, percent)
+    links = common.written(links.union(_linked(_apart(nearest, links), sets, marked, source, shingle, percent)), "partner-links")
     stars = met.select(F.col("least.set").alias("a"), F.col("x.set").alias("b"))
     links = common.written(links.union(_linked(_apart(stars, links), sets, marked, source, shingle, percent)), "star-links")
     roots = components(links).withColumnsRenamed({"node": "k", "root": "r"})
