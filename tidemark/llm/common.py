@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +51,37 @@ def hash_share(share: float, *columns: str) -> Column:
     return F.xxhash64(*columns) <= F.lit(edge).cast("long")
 
 
+# ---------------------------------------------------------------- memory of workers
+
+
+@cache
+def _trim() -> Callable[[int], int]:
+    """glibc's malloc_trim; nothing where the C library has none."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError, TypeError):
+        return int
+
+
+def give_back() -> None:
+    """Return to the system what this process has freed but its allocators keep."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, giving memory back when a task ends: Spark keeps the worker for later stages, beside the JVM's heap."""
+
+    @wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
 # ---------------------------------------------------------------- texts in Arrow batches
 
 

@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
@@ -84,6 +84,7 @@ def term_filter(segments: DataFrame) -> np.ndarray:
     """The bit map of the terms of segments: ``FILTER_BITS`` bits, whatever the benchmark's size."""
     mask = FILTER_BITS - 1
 
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(FILTER_BITS, bool)
         for batch in batches:
@@ -115,6 +116,7 @@ def build_index(docs: DataFrame, keep: tuple[str, ...], wanted: np.ndarray, wind
     source = "text" if "text" in keep else "text__"
     rows = docs.select(*keep, *([] if source == "text" else [F.col("text").alias(source)]))
 
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId() << 32
         for number, batch in enumerate(common.chunks(batches, source, SHARD_BYTES)):
@@ -193,6 +195,7 @@ class Shard:
 def _segments(benchmark: DataFrame, window: int) -> DataFrame:
     """(item, tokens): the distinct segments of all items; every window of an item lies in one of its segments."""
 
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.chunks(batches):
             terms, row = terms_of(batch.column(1))
@@ -243,6 +246,11 @@ class Block:
 HITS = "shard long, doc int, runs array<int>, items array<string>, near_items array<string>"
 
 
+def _no_hits(spark: SparkSession) -> DataFrame:
+    """An empty table of HITS, made in the JVM: one from a Python list starts Python workers of its own on every executor."""
+    return spark.range(0).selectExpr(*(f"cast(null as {kind}) as {name}" for name, kind in (c.split() for c in HITS.split(", "))))
+
+
 def _found(block: Block, shard: Shard, first: np.ndarray, n_words: np.ndarray, slack: int) -> list[tuple[int, list[int], list[str], list[str]]]:
     """What the documents with a match have: document, runs of hit words (first, end, ...), items and nearly matching items."""
     runs, exact, near = block.hits(shard, slack)
@@ -276,6 +284,7 @@ def _search(index: DataFrame, segments: list[tuple[str | None, bytes]], window:
     spark = index.sparkSession
     sent = spark.sparkContext.broadcast(segments)  # at most about a block's bytes
 
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = Block(sent.value, window)
         for batch in batches:
@@ -298,6 +307,7 @@ def _search(index: DataFrame, segments: list[tuple[str | None, bytes]], window:
 def _merged(hits: DataFrame) -> DataFrame:
     """One row a document, whatever blocks its hits are from."""
 
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             merged = []
@@ -325,7 +335,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("do
     index = build_index(docs, keep, term_filter(segments), window, slack)
     total = segments.agg(F.sum(F.length("tokens"))).first()[0] or 0
     blocks = -(-total // block_bytes)
-    hits, path = common.write_scratch(spark.createDataFrame([], HITS), "hits")
+    hits, path = common.write_scratch(_no_hits(spark), "hits")
     for b in range(blocks):
         mine = segments.where(F.pmod(F.xxhash64("item", "tokens"), F.lit(blocks)) == b)
         _search(index, [(r.item, bytes(r.tokens)) for r in mine.collect()], window, slack, path)

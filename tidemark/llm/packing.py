@@ -69,7 +69,11 @@ def id_type(tokenizer_path: str) -> np.dtype:
     """The narrowest little-endian type that holds every id of the tokenizer."""
     from tokenizers import Tokenizer
 
-    return np.dtype("<u2" if Tokenizer.from_file(tokenizer_path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+    return _id_type(Tokenizer.from_file(tokenizer_path).get_vocab_size(with_added_tokens=True))
+
+
+def _id_type(n_ids: int) -> np.dtype:
+    return np.dtype("<u2" if n_ids <= 1 << 16 else "<u4")
 
 
 def works_by_word(tokenizer_path: str) -> bool:
@@ -91,7 +95,7 @@ class _Words(dict):
         super().__init__()
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
-        self.code = "H" if id_type(path).itemsize == 2 else "I"
+        self.code = _id_type(self.whole.get_vocab_size(with_added_tokens=True)).char
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}
 
@@ -111,9 +115,10 @@ class _Words(dict):
 class WordTokenizer:
     """Token ids of texts, by way of their words between white space where no token crosses it, else of whole texts."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, by_word: bool | None = None):
         self._words = _Words(path)
-        self._by_word = works_by_word(path)
+        self._by_word = works_by_word(path) if by_word is None else by_word
+        common.give_back()  # reading the file takes several times what is kept of it
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if self._by_word:
@@ -124,9 +129,9 @@ class WordTokenizer:
 
 
 @cache
-def word_tokenizer(path: str) -> WordTokenizer:
+def word_tokenizer(path: str, by_word: bool) -> WordTokenizer:
     """One for all tasks of a Python worker, so that its memory of words lasts."""
-    return WordTokenizer(path)
+    return WordTokenizer(path, by_word)
 
 
 _signs: dict[int, np.ndarray] = {}
@@ -171,11 +176,12 @@ def tokenised(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id") -> D
     """(id, curve, total, start, ids): each document's place on the curve and its little-endian token ids, of id_type(), with
     the end token, in rows of at most ``SEGMENT`` ids from ``start`` on."""
     common.small_batches(docs.sparkSession)
-    kind = id_type(tokenizer_path)
+    kind, by_word = id_type(tokenizer_path), works_by_word(tokenizer_path)  # here, so that workers read the file once
     wide = kind.itemsize
 
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_tokenizer(tokenizer_path)
+        words = word_tokenizer(tokenizer_path, by_word)
         end = END.to_bytes(wide, "little")
         for batch in common.chunks(batches):
             rows = [x + end for x in words.encode(common.texts_of(batch))]
@@ -261,6 +267,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", length: i
     ranged = rows.repartitionByRange(*spread, *map(F.col, order)).sortWithinPartitions(*order).select("id", "total", "start", "ids")
     kind = id_type(tokenizer_path)
 
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, id_kind = _Packer(TaskContext.get().partitionId() << 40, length), None
         for batch in batches:

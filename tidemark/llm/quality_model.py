@@ -227,6 +227,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     known = known.where(common.hash_share(share, id_col)).orderBy(F.xxhash64(id_col), id_col).limit(sample).withColumnRenamed(id_col, "label_id__")
     rows = docs.select(id_col, "text").join(F.broadcast(known), F.col(id_col) == F.col("label_id__"))
 
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.chunks(batches):
             x, first = encode(batch)
@@ -252,6 +253,7 @@ def score(docs: DataFrame, model: Attention | None, keep: tuple[str, ...] = ("do
     common.small_batches(spark)
     sent = spark.sparkContext.broadcast(model)
 
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.chunks(batches):
             if sent.value is None:

@@ -79,6 +79,7 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
 def _whole(rows: DataFrame, key: str, shingle: int) -> DataFrame:
     """``key`` (long) and ``grams``, all shingles, of rows (key, text)."""
 
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.chunks(batches):
             row, h = shingles(batch, shingle)
@@ -124,6 +125,7 @@ def _prefixes(docs: DataFrame, id_col: str, shingle: int, percent: int) -> DataF
     """(id, th, set, n, sketch, prefix): hash, size and parities of each row's set, and its shingles that a partner must share one of."""
     levels = _common(docs, shingle)
 
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(zlib.decompress(levels), np.uint8)
         for batch in common.chunks(batches):
@@ -160,6 +162,7 @@ def _agreeing(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     total = (F.col("na") + F.col("nb")).cast("long")
     both = both.select("a", "b", (total - 2 * F.ceil(total * percent / (100 + percent))).alias("most"), "sa", "sb").where("most >= 0")
 
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             most, sa, sb = (batch.column(k).to_pylist() for k in (2, 3, 4))

@@ -60,6 +60,7 @@ def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), shingle:
     """``keep`` and ``fp`` (a signed long) of every row; one narrow pass."""
     common.small_batches(docs.sparkSession)
 
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.chunks(batches):
             fps = np.array([fingerprint(t, shingle) for t in common.texts_of(batch)], np.uint64).view(np.int64)
@@ -102,6 +103,7 @@ def _forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
 def _bucket_links(buckets: DataFrame, radius: int) -> DataFrame:
     """Links (a, b) inside buckets ``fps array<long>`` of bounded size."""
 
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             links = [x for fps in batch.column(0) for x in _forest(np.array(fps.as_py(), np.int64), radius)]
